@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from typeflow.llm.bpe import digests
 from typeflow.llm.common import settle, table
 from typeflow.llm.decontaminate import drop_contaminated
+from typeflow.llm.language_id import keep_known
 from typeflow.llm.quality_rules import keep
+from typeflow.llm.simhash import keep_one
 
+#: Fingerprints, learned models and the tokenizer have no SQL form; see the brute-force test.
 ORACLE_SQL = None
 
 
@@ -16,15 +20,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep(docs)
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return keep_known(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return keep_one(docs)
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_stage), ("decontaminate", decontaminate_stage)]
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of each document."""
+    return digests(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("bpe", bpe_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on ``documents``; what a stage keeps is settled before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))

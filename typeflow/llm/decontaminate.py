@@ -7,8 +7,8 @@ extended to the windows of WINDOW words around them, and those are joined by the
 with the windows of the items, so the result is exact.  An item with fewer words than WINDOW
 is one window of its own length, for which every k-gram of that length is a fingerprint.
 
-A fixed-size bitmap of the items' fingerprints (one row, broadcast) thins the documents'
-fingerprints before anything is exploded; it only ever lets too many through.
+A bitmap of the items' fingerprints, of a fixed 32 KB, thins the documents' fingerprints before
+anything is exploded; it only ever lets too many through.
 
 Defined cases: a null text has no words, so it is clean; an empty text likewise; items without
 words have no window; repeated documents give a row each; a null doc_id is kept; an item_id
@@ -94,7 +94,7 @@ def _bitmap(windows: DataFrame, length: int) -> DataFrame:
     slots = prints.sparkSession.range(MAP_LONGS).select(F.col("id").cast("int").alias("slot"))
     filled = slots.join(prints, "slot", "left").select("slot", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
     # the slots number MAP_LONGS whatever the benchmark holds
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias(f"map_{length}")).withColumn("one", F.lit(1))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
 def _candidates(words: Column, length: int) -> Column:
@@ -118,9 +118,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated for each row of ``docs``."""
     windows = settle(item_windows(benchmark))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    marked = docs.select("doc_id", F.col("text"), F.lit(1).alias("one"))
+    marked = docs.select("doc_id", "text")
     for length in lengths:
-        marked = marked.join(F.broadcast(_bitmap(windows, length)), "one")
+        marked = marked.withColumn(f"map_{length}", _bitmap(windows, length).scalar())
 
     def spans(words: Column) -> Column:
         # the first struct stands for the document itself, so that clean ones stay in the result

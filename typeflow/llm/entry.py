@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, sharding
+from . import bpe, chat, decontaminate, language_id, quality_model, quality_rules, sharding, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_token_files": token_files.op3_token_files,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_chat": chat.op5_chat,
     "op6_sharding": sharding.op6_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality_model": quality_model.op10_quality_model,
 }
 
+#: The others have no SQL form (hash functions, tokenizers, learned models) and are tested by brute force.
 ORACLE_SQL = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op5_chat": chat.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
 }

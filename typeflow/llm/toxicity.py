@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .labelled import labelled_sample
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 SAMPLE = 6_000
 FOLDS = 3
 STEPS = 150
@@ -41,21 +42,26 @@ CHAIN: tuple[tuple[str, str], ...] = (("low_quality", "1 - quality"), ("toxic",
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\\n"
 
 
+#: Lengths of word beginnings that are features too, since insults are inflected and compounded.
+STEMS = (4, 5, 6)
+
+
 class _Buckets(dict):
-    """The bucket of each word as it is written; starts afresh beyond a bounded number of words."""
+    """The buckets of each word as it is written; starts afresh beyond a bounded number of words."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        bare = word.strip(_EDGES)
-        value = self[word] = zlib.crc32((bare or word[:1]).encode("utf-8", "surrogatepass")) % BUCKETS
+        bare = word.strip(_EDGES) or word[:1]
+        parts = [bare, *(f"{n} {bare[:n]}" for n in STEMS if len(bare) > n)]
+        value = self[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
         return value
 
 
 def word_buckets(text: str | None, known: _Buckets) -> np.ndarray:
-    """The distinct buckets of a text's words, ascending."""
+    """The distinct buckets of a text's words and of their beginnings, ascending."""
     words = set((text or "").lower().split())
-    return np.unique(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+    return np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int32))
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,428 @@
-"""Registered queries of the core library and their DuckDB counterparts."""
+"""Registered queries of the core library, and the SQL that gives the same rows in DuckDB."""
+
+from __future__ import annotations
+
+import gzip as _gzip
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import convert
+from .operators import assets, command, execute, graph, volumes
+from .plans.defaults import default_registry
+from .plans.planner import Context
+from .sources import metadata
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def _query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# commands
+
+
+@_query("""
+SELECT p_partkey, concat_ws(' ', 'resize', '-i', p_name, '--size', p_size::VARCHAR, CASE WHEN p_type = 'LARGE' THEN '--large' END) AS cmd FROM part
+""")
+def render_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = command.Command("resize", [command.Param("name", label="i"), command.Param("size", "keyword"), command.Param("large", "flag", default=False)])
+    part = _t(spark, sf_dir, "part")
+    return part.select("p_partkey", spec.text({"name": F.col("p_name"), "size": F.col("p_size"), "large": F.col("p_type") == "LARGE"}).alias("cmd"))
+
+
+@_query("""
+SELECT p_partkey, concat_ws(' ', 'transform_threshold', '-i', p_partkey::VARCHAR || '.vol', '-o', 'out/' || p_partkey::VARCHAR || '.vol',
+       '--select', 'below ' || p_size::VARCHAR, '--substitute', 'binarize') AS threshold_cmd,
+       concat_ws(' ', 'volume_align', '--i1', p_name, '--i2', p_brand, CASE WHEN p_size > 25 THEN '--local' END, '--apply', p_partkey::VARCHAR || '.vol') AS align_cmd,
+       concat_ws(' ', 'volume_from_pdb', '-i', p_name, '-o', p_brand, '--centerPDB', 'yes', '--sampling', p_size::VARCHAR, '--size', '64') AS pdb_cmd
+FROM part
+""")
+def render_bound_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    programs = command.bound_programs()
+    key = F.col("p_partkey").cast("string")
+    volume = assets.retype(key, ".vol")
+    text = F.col("p_size").cast("string")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey",
+        programs["transform_threshold"]
+        .text({"inputs": volume, "outputs": F.concat(F.lit("out/"), volume), "select": F.concat(F.lit("below "), text), "substitute": F.lit("binarize")})
+        .alias("threshold_cmd"),
+        programs["volume_align"].text({"reference_map": F.col("p_name"), "volume": F.col("p_brand"), "local": F.col("p_size") > 25, "apply": volume}).alias("align_cmd"),
+        programs["volume_from_pdb"]
+        .text({"inputs": F.col("p_name"), "outputs": F.col("p_brand"), "center_pdb": F.lit("yes"), "sampling": text, "size": F.lit(64)})
+        .alias("pdb_cmd"),
+    )
+
+
+@_query("SELECT p_partkey, regexp_full_match(p_brand, 'Brand#[0-4]') AS ok FROM part")
+def validate_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", command.matches(F.col("p_brand"), "Brand#[0-4]").alias("ok"))
+
+
+@_query("SELECT p_partkey, list_concat((['-i', p_name, p_brand])[2:3], (['-i', p_name, p_brand])[1:1]) AS a FROM part")
+def postprocess_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.array(F.lit("-i"), F.col("p_name"), F.col("p_brand"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.slice(groups, 2, 2), F.slice(groups, 1, 1)).alias("a"))
+
+
+@_query("SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN labels USING (doc_id)")
+def bind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    params = [command.Param("quality", "keyword", default=-1), command.Param("toxic", "keyword", default=0)]
+    bound = command.bind_defaults(params, {"quality": F.col("quality"), "toxic": F.col("toxic")})
+    return rows.select("doc_id", *[value.alias(name) for name, value in bound.items()])
+
+
+@_query("SELECT event_id, coalesce(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'purchase' THEN 'buy' END, event_type) AS n FROM events")
+def rename_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", command.rename(F.col("event_type"), {"view": "v", "click": "c", "purchase": "buy"}).alias("n"))
+
+
+@_query("""
+SELECT d.doc_id, list_concat(CASE WHEN quality = 1 THEN ['--quality'] ELSE []::VARCHAR[] END, CASE WHEN toxic = 1 THEN ['--toxic'] ELSE []::VARCHAR[] END) AS f
+FROM documents d LEFT JOIN labels USING (doc_id)
+""")
+def bool_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    flags = F.array(command.flag("--quality", F.col("quality") == 1), command.flag("--toxic", F.col("toxic") == 1))
+    return rows.select("doc_id", F.flatten(flags).alias("f"))
+
+
+@_query("SELECT event_id, list_filter([event_type, CASE WHEN value > 50 THEN 'hi' END], lambda v: v IS NOT NULL) AS a FROM events")
+def drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", command.drop_nulls(F.array("event_type", F.when(F.col("value") > 50, F.lit("hi")))).alias("a"))
+
+
+@_query()
+def exec_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's command compares its nation with itself by a harmless program."""
+    rows = _t(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.array(F.lit("test"), F.col("s_nationkey").cast("string"), F.lit("-lt"), F.lit("20")).alias("argv")
+    )
+    return execute.run_commands(rows, "s_suppkey", "argv").select("s_suppkey", "exit_code")
+
+
+# text forms and parameters
+
+
+@_query("SELECT conv_id, array_to_string(list_sort(list(turn)), '_') AS t FROM conversations GROUP BY conv_id")
+def tuple_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return turns.select("conv_id", convert.join_elements(F.col("turns"), separator="_").alias("t"))
+
+
+@_query("SELECT o_orderkey, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS s, CASE WHEN o_totalprice > 1000 THEN 'True' ELSE 'False' END AS b FROM orders")
+def to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", convert.to_string(F.col("o_totalprice").cast("long")).alias("s"), convert.bool_to_string(F.col("o_totalprice") > 1000).alias("b")
+    )
+
+
+@_query("SELECT p_partkey, p_name AS str_rep, 'path' AS dtype, p_size > 25 AS managed FROM part")
+def param_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    param = convert.param_struct(F.col("p_name"), "path", F.col("p_size") > 25)
+    return _t(spark, sf_dir, "part").select("p_partkey", param.alias("p")).select("p_partkey", "p.*")
+
+
+# conversion graph
+
+
+@_query("""
+SELECT l_orderkey, l_linenumber, l_partkey FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1
+""")
+def registry_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return graph.dedupe_edges(edges, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).drop("l_suppkey")
+
+
+@_query("""
+SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem)
+  WHERE n = 1) WHERE m = 1
+""")
+def registry_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First in a scope, last among scopes."""
+    edges = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber")
+    return graph.dedupe_edges(edges, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"], "l_returnflag").drop("l_returnflag")
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    customer = _t(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("sub"), name("n", "c_nationkey").alias("sup"))
+    nation = _t(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("sub"), name("r", "n_regionkey").alias("sup"))
+    region = _t(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("sub"), F.lit("object").alias("sup"))
+    return customer.unionByName(nation).unionByName(region)
+
+
+@_query("""
+WITH RECURSIVE p AS (
+  SELECT 'c' || c_custkey::VARCHAR AS sub, 'n' || c_nationkey::VARCHAR AS sup FROM customer
+  UNION ALL SELECT 'n' || n_nationkey::VARCHAR, 'r' || n_regionkey::VARCHAR FROM nation
+  UNION ALL SELECT 'r' || r_regionkey::VARCHAR, 'object' FROM region),
+a AS (SELECT sub, sup, 1 AS weight FROM p UNION ALL SELECT a.sub, p.sup, weight + 1 FROM a JOIN p ON a.sup = p.sub WHERE weight < 6)
+SELECT sub, sup, min(weight)::INTEGER AS weight FROM a GROUP BY sub, sup
+""")
+def downcast_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ancestors_closure(_parents(spark, sf_dir))
+
+
+_NATION_EDGES = """
+e AS (
+  SELECT src, dst, min(weight) AS weight FROM (
+    SELECT n_nationkey AS src, (7 * n_nationkey + 3) % 25 AS dst, n_regionkey AS weight FROM nation
+    UNION ALL SELECT n_nationkey, (3 * n_nationkey + 1) % 25, n_nationkey % 4 FROM nation) WHERE src <> dst GROUP BY src, dst)
+"""
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation")
+    a = n.select(F.col("n_nationkey").alias("src"), ((7 * F.col("n_nationkey") + 3) % 25).alias("dst"), F.col("n_regionkey").cast("long").alias("weight"))
+    b = n.select(F.col("n_nationkey").alias("src"), ((3 * F.col("n_nationkey") + 1) % 25).alias("dst"), (F.col("n_nationkey") % 4).cast("long").alias("weight"))
+    return a.unionByName(b)
+
+
+def _walks(name: str, start: int, hops: int) -> str:
+    return f"""{name} AS (
+  SELECT {start} AS node, 0 AS cost, 0 AS hops, '{start}' AS path
+  UNION ALL SELECT e.dst, cost + e.weight, hops + 1, path || '>' || e.dst::VARCHAR FROM {name} JOIN e ON node = e.src WHERE hops < {hops}),
+best_{name} AS (SELECT node, cost, hops, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, hops, path) AS k FROM {name}) WHERE k = 1)"""
+
+
+@_query(f"WITH RECURSIVE {_NATION_EDGES}, {_walks('w', 0, 12)} SELECT node::INTEGER AS node, cost::BIGINT AS cost, hops::BIGINT AS hops, path FROM best_w")
+def graph_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_paths(_nation_edges(spark, sf_dir), F.lit(0))
+
+
+@_query(f"""
+WITH RECURSIVE {_NATION_EDGES}, {_walks('w', 0, 12)}, {_walks('x', 3, 12)}
+SELECT x.node::INTEGER AS node, (w.cost + x.cost)::BIGINT AS cost, w.path || CASE WHEN x.hops = 0 THEN '' ELSE substr(x.path, 2) END AS path
+FROM best_x x, best_w w WHERE w.node = 3
+""")
+def graph_waypoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.paths_via(_nation_edges(spark, sf_dir), F.lit(0), F.lit(3))
+
+
+@_query("""
+SELECT l_partkey, l_suppkey FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber % 2, l_returnflag <> 'N', l_suppkey % 5 DESC, l_orderkey, l_linenumber, l_suppkey) AS n
+  FROM lineitem) WHERE n = 1
+""")
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = graph.rank_candidates(
+        _t(spark, sf_dir, "lineitem"),
+        ["l_partkey"],
+        F.col("l_linenumber") % 2,
+        F.col("l_returnflag") != "N",
+        F.col("l_suppkey") % 5,
+        ["l_orderkey", "l_linenumber", "l_suppkey"],
+    )
+    return ranked.select("l_partkey", "l_suppkey")
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:]+)', 1)"
+
+
+@_query(f"""
+SELECT DISTINCT array_to_string(p[1:i], '.') AS ns FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split({_HOST}, '.') AS p FROM pages))
+""")
+def scope_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select(F.explode(graph.expand_scopes(F.expr(_HOST))).alias("ns")).distinct()
+
+
+@_query(f"""
+SELECT string_split({_HOST}, '.')[1] AS ns FROM pages WHERE page_id % 2 = 0 INTERSECT SELECT string_split({_HOST}, '.')[1] FROM pages WHERE page_id % 2 = 1
+""")
+def scope_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.substring_index(F.expr(_HOST), ".", 1).alias("ns"))
+    side = lambda k: pages.where(F.col("page_id") % 2 == k).select("ns")
+    return graph.visible_scopes(side(0), side(1))
+
+
+@_query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def scope_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visible = _t(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return graph.edges_in_scope(_t(spark, sf_dir, "documents").select("doc_id", "source"), visible, "doc_id")
+
+
+@_query(f"SELECT page_id, array_to_string(p[1:len(p) - 1], '.') AS parent FROM (SELECT page_id, string_split({_HOST}, '.') AS p FROM pages)")
+def scope_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", graph.parent_scope(F.expr(_HOST)).alias("parent"))
+
+
+@_query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'root' ELSE source END AS module FROM documents")
+def scope_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", graph.lift_scope(F.col("source"), "src0", "root").alias("module"))
+
+
+@_query("""
+SELECT c_custkey, CASE WHEN n_regionkey % 2 = 0 THEN 'n' || n_nationkey::VARCHAR ELSE 'r' || n_regionkey::VARCHAR END AS sup
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
+def origin_upcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's nearest ancestor among all regions and the nations of even regions."""
+    nations = _t(spark, sf_dir, "nation")
+    closure = graph.ancestors_closure(_parents(spark, sf_dir)).where(F.col("sub").startswith("c"))
+    even = nations.where("n_regionkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("sup"))
+    nodes = even.unionByName(nations.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("sup")).distinct())
+    found = graph.nearest_ancestor(closure, nodes, "sub", "sup", "weight")
+    return found.select(F.substring("sub", 2, 20).cast("long").alias("c_custkey"), "sup")
+
+
+# conversions
+
+
+@_query("SELECT p_partkey, 'p' || CAST(CAST(trunc(p_retailprice) AS INTEGER) AS VARCHAR) AS s FROM part")
+def resolve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """double to int to text to a prefixed name, planned and compiled to one expression."""
+    registry = default_registry()
+    registry.declare("name")
+    registry.add("float", "int", convert.to_int, "app")
+    registry.add("str", "name", lambda v: F.concat(F.lit("p"), v), "app")
+    context = Context(registry).inside("app")
+    return _t(spark, sf_dir, "part").select("p_partkey", context.resolve(F.col("p_retailprice"), "float", "name", via="int").alias("s"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation")
+def resolve_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context = Context(default_registry())
+    return _t(spark, sf_dir, "nation").select("n_nationkey", context.resolve(F.col("n_name"), "str", "str", via="int").alias("n_name"))
+
+
+@_query("SELECT vec_id, array_to_string(list_transform(embedding[1:3], lambda v: CAST(CAST(trunc(v * 1000) AS INTEGER) * 2 AS VARCHAR)), '_') AS t FROM embeddings")
+def resolve_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of a tuple converted by the rules of the scope that the tuple is resolved in."""
+    registry = default_registry()
+    registry.add("float", "str", lambda v: convert.to_string(convert.to_int(v.cast("double") * 1000) * 2), "app")
+    registry.add("tuple", "str", lambda v, context: convert.join_elements(v, lambda x: context.resolve(x, "float", "str"), "_"), "app", nested=True)
+    context = Context(registry).inside("app")
+    scaled = F.slice("embedding", 1, 3)
+    return _t(spark, sf_dir, "embeddings").select("vec_id", context.resolve(scaled, "tuple", "str").alias("t"))
+
+
+# assets and references
+
+
+@_query(r"SELECT doc_id, regexp_extract(concat(source, '.', lang), '([.][^./]+)$', 1) AS ext, lang = 'en' AS is_en FROM documents")
+def asset_type_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("source", F.lit("."), "lang")
+    return _t(spark, sf_dir, "documents").select("doc_id", convert.suffix_of(path).alias("ext"), assets.is_type(path, ".en").alias("is_en"))
+
+
+@_query("SELECT doc_id, concat('/tmp/', source, '/', doc_id::VARCHAR, '.vol') AS path FROM documents")
+def asset_retype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.concat(F.lit("/tmp/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    return _t(spark, sf_dir, "documents").select("doc_id", assets.retype(base, ".vol").alias("path"))
+
+
+@_query("""
+SELECT doc_id, '/tmp/mask-' || doc_id::VARCHAR || '.vol' AS mask_path, 'Volume' AS mask_type, '/tmp/log-' || doc_id::VARCHAR || '.txt' AS log_path, true AS managed
+FROM documents
+""")
+def proxify_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assets.with_outputs(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", {"mask": ("Volume", ".vol"), "log": ("Text", ".txt")}, "/tmp")
+    return rows.select("doc_id", F.col("mask.path").alias("mask_path"), F.col("mask.type").alias("mask_type"), F.col("log.path").alias("log_path"), "mask.managed")
+
+
+def _delta():
+    return F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+
+
+_DELTA = "CASE WHEN event_type IN ('signup', 'view') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END"
+
+
+@_query(f"SELECT user_id, sum({_DELTA})::BIGINT AS refs FROM events GROUP BY user_id")
+def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.reference_counts(_t(spark, sf_dir, "events"), "user_id", _delta())
+
+
+@_query(f"SELECT event_id, user_id, (sum({_DELTA}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM events")
+def ref_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return assets.running_counts(ledger, "user_id", _delta(), ["ts", "event_id"]).select("event_id", "user_id", "running")
+
+
+@_query(f"SELECT user_id, sum({_DELTA})::BIGINT AS refs FROM events GROUP BY user_id HAVING sum({_DELTA}) <= 0")
+def ref_collectable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.collectable(assets.reference_counts(_t(spark, sf_dir, "events"), "user_id", _delta()))
+
+
+# volumes
+
+
+@_query("SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v < 0.02::FLOAT THEN 0 ELSE 1 END) AS m FROM embeddings")
+def volume_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select("vec_id", volumes.threshold(F.col("embedding"), 0.02).alias("m"))
+
+
+@_query("SELECT vec_id, len(list_filter(embedding, lambda v: v >= 0.02::FLOAT))::BIGINT AS n FROM embeddings")
+def volume_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select("vec_id", volumes.count_at_least(F.col("embedding"), 0.02).alias("n"))
+
+
+@_query("SELECT vec_id, embedding[17:32] AS z1 FROM embeddings")
+def volume_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select("vec_id", volumes.plane(F.col("embedding"), (4, 4, 4), 1).alias("z1"))
+
+
+@_query("""
+SELECT vec_id, ((i - 1) // 16)::INTEGER AS z, (((i - 1) // 4) % 4)::INTEGER AS y, ((i - 1) % 4)::INTEGER AS x, embedding[i] AS v
+FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)
+""")
+def volume_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volumes.voxels(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", (4, 4, 4))
+
+
+@_query("""
+SELECT vec_id, count(*)::BIGINT AS n, round(sum(v::DOUBLE), 4) AS total
+FROM (SELECT vec_id, (i - 1) // 16 - 2 AS z, ((i - 1) // 4) % 4 - 2 AS y, (i - 1) % 4 - 2 AS x, embedding[i] AS v
+      FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))
+WHERE z * z + y * y + x * x <= 4 GROUP BY vec_id
+""")
+def sphere_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voxels of each 4 x 4 x 4 volume inside a sphere of radius 2 round its centre voxel."""
+    flat = volumes.voxels(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", (4, 4, 4))
+    inside = flat.where(volumes.inside_sphere(F.col("z"), F.col("y"), F.col("x"), (2, 2, 2), 2))
+    return inside.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
+
+
+@_query("SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings")
+def array_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select("vec_id", volumes.to_float64(F.col("embedding")).alias("e"))
+
+
+# sources
+
+
+@_query("SELECT event_id, -CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, lower(json_extract_string(props, '$.a')) AS a FROM events")
+def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = metadata.map_metadata(F.col("props"), {"k": ("$.k", "int"), "a": ("$.a", "string")}, negate=("k",), lower=("a",))
+    return _t(spark, sf_dir, "events").select("event_id", fields.alias("m")).select("event_id", "m.*")
+
+
+@_query("SELECT doc_id, printf('map_%d_half_%d.map', doc_id, 2) AS l FROM documents")
+def locator_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", metadata.locator("map_%d_half_%d.map", F.col("doc_id"), F.lit(2)).alias("l"))
+
+
+@_query("SELECT page_id, strlen(html)::BIGINT AS n_bytes, sha256(html) AS digest FROM pages")
+def gunzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page packed and unpacked again."""
+    pack = F.pandas_udf(lambda pages: pages.map(lambda h: None if h is None else _gzip.compress(h.encode())), "binary")
+    packed = _t(spark, sf_dir, "pages").select("page_id", pack("html").alias("html"))
+    opened = metadata.gunzip(packed, "page_id", "html")
+    return opened.select("page_id", F.octet_length("html").cast("long").alias("n_bytes"), F.sha2("html", 256).alias("digest"))

@@ -84,8 +84,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, shards:
         chunk = start = size = 0
         held: list[tuple[int | None, bytes]] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append((doc_id, known.text(text.as_py() or "") + end))
+            encoded = (ids for run in tokens.portions(t.as_py() or "" for t in batch.column(1)) for ids in known.texts(run))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
+                held.append((doc_id, ids + end))
                 size += len(held[-1][1]) // tokens.ID_BYTES
                 if size >= CHUNK_IDS:
                     yield row(chunk, start, held)

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,6 +38,19 @@ def load(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
+#: Words of letters that are encoded as one text.
+GROUP = 1_000
+
+
+def stem(word: str) -> str:
+    """The word without one closing mark after letters, which the tokenizer always cuts off."""
+    return word[:-1] if word[-1] in ".,;:!?" and word[:-1].isalpha() else word
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if array("I").itemsize == ID_BYTES and sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+
+
 class WordEncoder:
     """Splits texts into words and encodes words; one for each tokenizer and Python worker."""
 
@@ -49,6 +65,7 @@ class WordEncoder:
         self._special = {t.content: i for i, t in self._whole.get_added_tokens_decoder().items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
         self.pieces = [self._whole.id_to_token(i) or "" for i in range(self._whole.get_vocab_size(with_added_tokens=True))]
+        self._ends = np.array([p.endswith("</w>") for p in self.pieces])
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text; a special token is its string after a space, which no word has."""
@@ -65,8 +82,24 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
-        plain = self._words.encode_batch_fast([" " if w[0] == " " else w for w in words], add_special_tokens=False)
-        return [np.array([self._special[w[1:]]] if w[0] == " " else e.ids, dtype="<u4").tobytes() for w, e in zip(words, plain)]
+        found: dict[str, bytes] = {}
+        bases = {w: stem(w) for w in words}
+        letters = list({b for b in bases.values() if b.isalpha()})
+        for at in range(0, len(letters), GROUP):
+            found |= zip(letters[at : at + GROUP], self._group(letters[at : at + GROUP]))
+        rest = list({b for b in bases.values() if b not in found and b[0] != " "} | {w[-1] for w, b in bases.items() if b != w})
+        found |= zip(rest, (_bytes(e.ids) for e in self._words.encode_batch_fast(rest, add_special_tokens=False)))
+        found |= {w: _bytes([self._special[w[1:]]]) if w[0] == " " else found[b] + found[w[-1]] for w, b in bases.items() if w[0] == " " or b != w}
+        return [found[w] for w in words]
+
+    def _group(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, encoded as one text and cut after each id that ends a word."""
+        ids = np.array(self._words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words):
+            return [_bytes(e.ids) for e in self._words.encode_batch_fast(words, add_special_tokens=False)]
+        data, cuts = ids.tobytes(), (ends * ID_BYTES).tolist()
+        return [data[i:j] for i, j in zip([0, *cuts], cuts)]
 
 
 @lru_cache(maxsize=2)
@@ -77,15 +110,35 @@ def encoder(spec: str) -> WordEncoder:
 class WordIds(dict):
     """Ids by word, filled as words are met; it starts afresh beyond ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, source: WordEncoder, limit: int = 400_000):
+    def __init__(self, source: WordEncoder, limit: int = 600_000):
         self.source, self.limit = source, limit
 
-    def text(self, text: str) -> bytes:
-        words = self.source.split(text)
-        fresh = list({w for w in words if w not in self})
-        if fresh:
-            if len(self) + len(fresh) > self.limit:
-                self.clear()
-                fresh = list(set(words))
-            self.update(zip(fresh, self.source.encode(fresh)))
-        return b"".join(map(self.__getitem__, words))
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words of all of them are encoded together."""
+        split = [self.source.split(t) for t in texts]
+        fresh = set().union(*split).difference(self)
+        if len(self) + len(fresh) > self.limit:
+            self.clear()
+            fresh = set().union(*split)
+        unknown = []
+        for w in fresh:
+            base = stem(w)
+            if base != w and base in self and w[-1] in self:
+                self[w] = self[base] + self[w[-1]]
+            else:
+                unknown.append(w)
+        self.update(zip(unknown, self.source.encode(unknown)))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+
+def portions(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in runs of about ``chars`` characters, one text at least."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

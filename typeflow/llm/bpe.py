@@ -67,8 +67,8 @@ class _Chunk:
     def ordered(self) -> tuple[list[str], np.ndarray, np.ndarray, int]:
         """Words, the part of each, the order that puts parts together, and a checksum."""
         words = list(self.number)
-        part = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype="<u4", count=len(words)) % PARTS
-        return words, part, np.argsort(part, kind="stable"), zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))
+        part = np.fromiter((zlib.crc32(w.encode()) for w in words), dtype="<u4", count=len(words)) % PARTS
+        return words, part, np.argsort(part, kind="stable"), zlib.crc32(" ".join(words).encode())
 
 
 def _narrow(codes: np.ndarray) -> bytes:
@@ -97,18 +97,20 @@ def _chunks(batches: Iterator[pa.RecordBatch], spec: str, keep: bool) -> Iterato
 
 
 def _words(docs: DataFrame, spec) -> DataFrame:
-    """part, chunk, words: the distinct words of each chunk that belong to the part, in the chunk's order."""
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.list_(pa.string()))])
+    """part, chunk, words: the distinct words of each chunk that belong to the part, in the chunk's order, as packed lines."""
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for number, chunk in _chunks(batches, spec.value, keep=False):
             words, part, order, _ = chunk.ordered()
             parts, counts = np.unique(part, return_counts=True)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in order], pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), number)), lists], schema=schema)
+            dealt = [words[i] for i in order]
+            lines = [squeeze("\n".join(dealt[i:j]).encode()) for i, j in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), number)), pa.array(lines, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(of, "part int, chunk long, words array<string>")
+    return docs.mapInArrow(of, "part int, chunk long, words binary")
 
 
 def _codes(docs: DataFrame, spec) -> DataFrame:
@@ -140,12 +142,11 @@ def _encode_parts(words: DataFrame, spec) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             rows = []
-            for part, chunk, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, chunk, lines in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != current:
                     known, current = {}, part
-                fresh = [w for w in words if w not in known]
-                if fresh:
-                    known.update(zip(fresh, encoder.encode(fresh)))
+                words = zstandard.ZstdDecompressor().decompress(lines).decode().split("\n")
+                encoder.learn([w for w in words if w not in known], known)
                 found = [known[w] for w in words]
                 sizes = np.fromiter(map(len, found), dtype="<u4", count=len(found)) // tokens.ID_BYTES
                 rows.append((chunk, part, len(words), squeeze(_narrow(sizes)), squeeze(_narrow(np.frombuffer(b"".join(found), dtype="<u4")))))

@@ -12,7 +12,7 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,6 +38,15 @@ def load(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _plain(text: str) -> bool:
+    """True if the str methods split the text as the library does."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _CARE.search(text)
+    return b"<|" not in raw and not any(c in raw for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
+
+
 #: Words of letters that are encoded as one text.
 GROUP = 1_000
 
@@ -69,7 +78,7 @@ class WordEncoder:
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text; a special token is its string after a space, which no word has."""
-        if not _CARE.search(text):
+        if _plain(text):
             return text.lower().split()
         out: list[str] = []
         for part in self._cut.split(text) if self._cut else [text]:
@@ -80,18 +89,34 @@ class WordEncoder:
                 out += [w for w in normal.split(" ") if w]
         return out
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def encode(self, words: Collection[str]) -> list[bytes]:
         """The ids of each word."""
         found: dict[str, bytes] = {}
-        bases = {w: stem(w) for w in words}
-        letters = list({b for b in bases.values() if b.isalpha()})
-        for at in range(0, len(letters), GROUP):
-            found |= zip(letters[at : at + GROUP], self._group(letters[at : at + GROUP]))
-        rest = list({b for b in bases.values() if b not in found and b[0] != " "} | {w[-1] for w, b in bases.items() if b != w})
-        found |= zip(rest, (_bytes(e.ids) for e in self._words.encode_batch_fast(rest, add_special_tokens=False)))
-        found |= {w: _bytes([self._special[w[1:]]]) if w[0] == " " else found[b] + found[w[-1]] for w, b in bases.items() if w[0] == " " or b != w}
+        self.learn(words, found)
         return [found[w] for w in words]
 
+    def learn(self, words: Iterable[str], known: dict[str, bytes]) -> None:
+        """Add the ids of ``words`` to ``known``, by way of their stems."""
+        wanted, marked = set(), []
+        for w in words:
+            base = stem(w)
+            if base is not w:
+                marked.append((w, base))
+                wanted.add(base)
+                wanted.add(w[-1])
+            elif w[0] == " ":
+                known[w] = _bytes([self._special[w[1:]]])
+            else:
+                wanted.add(w)
+        letters, rest = [], []
+        for w in wanted.difference(known):
+            (letters if w.isalpha() else rest).append(w)
+        for at in range(0, len(letters), GROUP):
+            known.update(zip(letters[at : at + GROUP], self._group(letters[at : at + GROUP])))
+        known.update(zip(rest, (_bytes(e.ids) for e in self._words.encode_batch_fast(rest, add_special_tokens=False))))
+        for w, base in marked:
+            known[w] = known[base] + known[w[-1]]
+
     def _group(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters, encoded as one text and cut after each id that ends a word."""
         ids = np.array(self._words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -120,14 +145,7 @@ class WordIds(dict):
         if len(self) + len(fresh) > self.limit:
             self.clear()
             fresh = set().union(*split)
-        unknown = []
-        for w in fresh:
-            base = stem(w)
-            if base != w and base in self and w[-1] in self:
-                self[w] = self[base] + self[w[-1]]
-            else:
-                unknown.append(w)
-        self.update(zip(unknown, self.source.encode(unknown)))
+        self.source.learn(fresh, self)
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 

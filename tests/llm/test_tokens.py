@@ -26,6 +26,12 @@ def test_words_give_the_librarys_ids(text):
     assert tokens.WordIds(ENCODER, limit=50).texts([text]) == [ids_of(text).tobytes()]
 
 
+def test_every_low_code_point_is_split_as_the_library_does():
+    texts = [f"ab{chr(c)}Cd{chr(c)} {chr(c)}" for c in range(0x3000)]
+    assert tokens.WordIds(ENCODER).texts(texts) == [ids_of(t).tobytes() for t in texts]
+    assert tokens.WordIds(ENCODER).texts(["", " \t", "<|endoftext|>"])[:2] == [b"", b""]
+
+
 def brute(rows):
     return sorted((str(i), len(x := ids_of(t)), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(WHOLE.decode(x.tolist(), skip_special_tokens=False).encode()).hexdigest()) for i, t in rows)
 

@@ -19,12 +19,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 ID_BYTES = 4
-#: Characters below this are in composed form, lower-case alone, and white space as Python has it
-#: but for four separators, so str methods split such texts as the library does.
+#: Characters below this are in composed form, lower-case alone, and white space as Python and
+#: Arrow have it but for four separators, so both split such texts as the library does.
 _CARE = re.compile("[\x1c-\x1f]|[^\x00-ɏ]|<\\|")
 
 
@@ -39,7 +41,7 @@ def load(spark: SparkSession, path: str | None = None):
 
 
 def _plain(text: str) -> bool:
-    """True if the str methods split the text as the library does."""
+    """True if Python and Arrow split the text as the library does."""
     try:
         raw = text.encode("latin-1")
     except UnicodeEncodeError:
@@ -49,11 +51,8 @@ def _plain(text: str) -> bool:
 
 #: Words of letters that are encoded as one text.
 GROUP = 1_000
-
-
-def stem(word: str) -> str:
-    """The word without one closing mark after letters, which the tokenizer always cuts off."""
-    return word[:-1] if word[-1] in ".,;:!?" and word[:-1].isalpha() else word
+#: Marks that the tokenizer always cuts off letters.
+MARKS = ".,;:!?"
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -96,14 +95,12 @@ class WordEncoder:
         return [found[w] for w in words]
 
     def learn(self, words: Iterable[str], known: dict[str, bytes]) -> None:
-        """Add the ids of ``words`` to ``known``, by way of their stems."""
-        wanted, marked = set(), []
+        """Add the ids of ``words`` to ``known``; one mark after letters is taken off and its ids appended."""
+        wanted, marked = set(MARKS), []
         for w in words:
-            base = stem(w)
-            if base is not w:
+            if w[-1] in MARKS and (base := w[:-1]).isalpha():
                 marked.append((w, base))
                 wanted.add(base)
-                wanted.add(w[-1])
             elif w[0] == " ":
                 known[w] = _bytes([self._special[w[1:]]])
             else:
@@ -138,18 +135,37 @@ class WordIds(dict):
     def __init__(self, source: WordEncoder, limit: int = 600_000):
         self.source, self.limit = source, limit
 
+    def _split(self, texts: list[str]) -> tuple[list[int], pa.Array, np.ndarray]:
+        """The order in which the texts' words are listed, the words, and where each text's words begin and end."""
+        plain, other = [], []
+        for i, t in enumerate(texts):
+            (plain if _plain(t) else other).append(i)
+        cut = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        words = [self.source.split(texts[i]) for i in other]
+        flat = pa.concat_arrays([cut.flatten(), *(pa.array(w, pa.large_string()) for w in words)])
+        bounds = np.cumsum([0, *pc.list_value_length(cut).to_pylist(), *map(len, words)])
+        return plain + other, flat, bounds
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all of them are encoded together."""
-        split = [self.source.split(t) for t in texts]
-        fresh = set().union(*split).difference(self)
+        order, flat, bounds = self._split(texts)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in words if w not in self]
         if len(self) + len(fresh) > self.limit:
             self.clear()
-            fresh = set().union(*split)
-        self.source.learn(fresh, self)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-
-def portions(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+            fresh = words
+        self[""] = b""  # before and after the white space at a text's ends
+        self.source.learn(filter(None, fresh), self)
+        placed = pa.array(map(self.__getitem__, words), pa.large_binary()).take(coded.indices)
+        _, offsets, data = placed.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[bounds].tolist()
+        data = data.to_pybytes() if data else b""
+        found = dict(zip(order, (data[i:j] for i, j in zip(cuts, cuts[1:]))))
+        return [found[i] for i in range(len(texts))]
+
+
+def portions(texts: Iterable[str], chars: int = 4_000_000) -> Iterator[list[str]]:
     """The texts in runs of about ``chars`` characters, one text at least."""
     held, size = [], 0
     for t in texts:

@@ -33,6 +33,9 @@ def test_language_edge_cases(spark, docs, empty):
     nothing = language_id.learn(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["__lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.keep_known(docs).columns == docs.columns
+    clash = docs.withColumns({"__lang_pred": F.lit(5), "__SCORE": F.lit(6), "__guess": F.lit(7)})
+    kept = language_id.keep_known(clash)
+    assert kept.columns == clash.columns and {(r["__lang_pred"], r["__SCORE"], r["__guess"]) for r in kept.collect()} == {(5, 6, 7)}
 
 
 def test_language_pieces_lose_no_ngram(monkeypatch):

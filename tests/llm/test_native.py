@@ -34,6 +34,9 @@ def test_rules_edge_cases(spark, docs, empty):
         assert not (r.kept and r.base_failed)
     assert quality_rules.ledger(empty).count() == 0
     assert quality_rules.keep(docs).columns == docs.columns
+    prose = " ".join(f"word{k}" for k in range(60))
+    clash = spark.createDataFrame([(1, prose, 5, "k"), (2, "few", 6, "k")], "doc_id long, text string, __m int, __keep string")
+    assert [tuple(r) for r in quality_rules.keep(clash).collect()] == [(1, prose, 5, "k")]
 
 
 def test_rules_compare_all_windows_of_very_long_texts(spark, monkeypatch):
@@ -70,6 +73,8 @@ def test_decontamination_edge_cases(spark, docs, empty):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, 6, 8, None}
+    shared_id = spark.createDataFrame([(None, SPAN, 1), (None, "clean", 2), (1, SPAN, 3), (1, "clean", 4)], "doc_id long, text string, __hit int")
+    assert sorted(r["__hit"] for r in decontaminate.drop_contaminated(shared_id, bench).collect()) == [2, 4]
 
 
 def test_chat_query(same_rows):

@@ -54,6 +54,14 @@ def test_edge_cases(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_one_of_each_component_stays_without_unique_ids(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(30)) for w in "abcd"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[2])]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, __leader int, n int, root int").checkpoint()
+    kept = sorted((str(r.doc_id), r.text, r["__leader"], r.n, r.root) for r in simhash.keep_one(df).collect())
+    assert kept == sorted((str(i), t, 1, 2, 3) for i, t in zip((None, None, 7, 7), texts))
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, sf_dir).collect())

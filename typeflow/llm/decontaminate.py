@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, settle, table
+from .common import ascii_lower, free_name, let, settle, table
 
 WINDOW = 10
 #: Words of a k-gram; WINDOW - GRAM + 1 k-gram hashes make one winnowing window.
@@ -115,7 +115,7 @@ def _candidates(words: Column, length: int) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated for each row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, print (the text's hash) for each row of ``docs``."""
     windows = settle(item_windows(benchmark))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
     marked = docs.select("doc_id", "text")
@@ -143,17 +143,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda i: i.cast("string")))
     return found.select(
         "doc_id",
+        "print",
         "n_words",
         n_hit.cast("long").alias("n_hit"),
         items.alias("items"),
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "print")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, with their columns; documents are told apart by doc_id and text."""
-    hit = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    name = free_name(docs, "__hit")
+    hit = contamination(docs, benchmark).where("contaminated").select(F.struct("doc_id", "print").alias(name)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(docs["text"]) == F.col(f"{name}.print"))
+    return docs.join(hit, same, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

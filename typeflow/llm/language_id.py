@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held_out, table
+from .common import free_name, held_out, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -121,15 +121,15 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with lang_pred and score; only its text column is read for them."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("__lang_pred", "__score")) -> DataFrame:
+    """The columns of ``docs`` with the language and its score, called ``names``; only the text column is read for them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS, whatever the corpus's size
     kinds = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     @F.pandas_udf(kinds)
     def of(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
+        languages = np.array([*m.languages, UNKNOWN], dtype=object)
         values = [t or "" for t in texts]
         lettered = np.array([any(map(str.isalpha, t)) for t in values], dtype=bool)
         best, score = np.full(len(values), len(m.languages)), np.zeros(len(values))
@@ -138,17 +138,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             p = np.exp(log - log.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best[lettered], score[lettered] = p.argmax(axis=1), p.max(axis=1)
-        return pd.DataFrame({"lang_pred": names[best], "score": score})
+        return pd.DataFrame({"lang_pred": languages[best], "score": score})
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    guessed = docs.select(*columns, of(F.col("text").cast("string")).alias("__guess"))
-    return guessed.select(*columns, F.col("__guess.lang_pred").alias("__lang_pred"), F.col("__guess.score").alias("__score"))
+    guess = free_name(docs, "__guess")
+    guessed = docs.select(*columns, of(F.col("text").cast("string")).alias(guess))
+    return guessed.select(*columns, F.col(f"{guess}.lang_pred").alias(names[0]), F.col(f"{guess}.score").alias(names[1]))
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, with their columns."""
-    guessed = predict(docs, learn(docs, sample))
-    return guessed.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = free_name(docs, "__lang_pred"), free_name(docs, "__score")
+    guessed = predict(docs, learn(docs, sample), (lang, score))
+    return guessed.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, table
+from .common import SPACE_CLASS, free_name, let, table
 
 #: A window's key holds its position in this many low bits, below a piece of its hash.
 POSITION_BITS = 24
@@ -168,15 +168,16 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns."""
-    measured = docs.withColumn("__m", measurements(F.col("text")))
+    m, kept = free_name(docs, "__m"), free_name(docs, "__keep")
+    measured = docs.withColumn(m, measurements(F.col("text")))
     passes = F.lit(True)
     for rule in RULES:
         if BIT[rule.name] & (BASE | POLICIES[version]):
             condition = rule.fails
             for name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"):
-                condition = condition.replace(name, f"__m.{name}")
+                condition = condition.replace(name, f"{m}.{name}")
             passes = passes & ~F.expr(condition)
-    return measured.withColumn("__keep", passes).where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return measured.withColumn(kept, passes).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import settle, table
+from .common import free_name, settle, table
 from .components import connected_components
 
 RADIUS = 2
@@ -56,14 +56,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint (fp, a signed bigint), a row for each row of ``docs``."""
+    """doc_id, the text's hash (print) and fingerprint (fp), signed bigints, a row for each row of ``docs``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype="<u8", count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view("<i8"))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view("<i8"))], names=["doc_id", "print", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
+    return rows.mapInArrow(of, "doc_id long, print long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -97,29 +99,30 @@ def links(values: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable) for each row of ``docs``."""
+    """doc_id, print, fp, root (a component's least fp), component_id (the least doc_id reachable) for each row of ``docs``."""
     prints = settle(fingerprints(docs))
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(values.select("fp")))
     rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "print", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` whose doc_id names their component, with their columns.
+    """One document of each component of ``docs``, with its columns: the one whose doc_id names it.
 
-    Of repeated rows with that doc_id one stays: the first by text.  Documents without a doc_id
-    stay only if their whole component has none; the first by text of each then stays.
+    Rows are told apart by doc_id and text.  Where several of a component have its least doc_id, or
+    all have none, the one with the least hash of its text stays; of equal rows one stays.
     """
-    found = near_duplicates(docs)
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count("*").alias("__rows"))
-    leaders = leaders.groupBy("doc_id").agg(F.sum("__rows").alias("__rows")).withColumnRenamed("doc_id", "__id")
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["__id"]))
-    # only ids that occur more than once need to be thinned out
-    single = kept.where("__rows = 1")
-    many = kept.where("__rows > 1").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs).groupBy("root", "doc_id", "print").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print", "n"))
+    name = free_name(docs, "__leader")
+    leaders = found.groupBy("root").agg(least.alias(name)).select(name)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col(f"{name}.print"))
+    kept = docs.join(leaders, same)
+    # only rows that occur more than once need to be thinned out
+    single, many = kept.where(F.col(f"{name}.n") == 1), kept.where(F.col(f"{name}.n") > 1).dropDuplicates(["doc_id", "text"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return single.select(columns).unionByName(many.select(columns))
 

@@ -36,12 +36,12 @@ from . import tokens
 from .common import table
 
 #: A chunk ends when its texts have this many characters, or this many distinct words.
-CHUNK_CHARS = 16_000_000
-CHUNK_WORDS = 400_000
+CHUNK_CHARS = 8_000_000
+CHUNK_WORDS = 200_000
 #: Parts of the distinct-word table.
 PARTS = 512
 #: Ids in one output batch.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
 
 
 class _Chunk:

@@ -110,7 +110,7 @@ def _words(docs: DataFrame, spec) -> DataFrame:
             lines = [squeeze("\n".join(dealt[i:j]).encode()) for i, j in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), number)), pa.array(lines, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(of, "part int, chunk long, words binary")
+    return docs.mapInArrow(tokens.trimmed(of), "part int, chunk long, words binary")
 
 
 def _codes(docs: DataFrame, spec) -> DataFrame:
@@ -128,7 +128,7 @@ def _codes(docs: DataFrame, spec) -> DataFrame:
                 columns = [pa.array([number] * len(rows), pa.int64())] + [pa.array(x, t) for x, t in zip(zip(*rows), schema.types[1:])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(of, "chunk long, check long, doc_id long, codes binary")
+    return docs.mapInArrow(tokens.trimmed(of), "chunk long, check long, doc_id long, codes binary")
 
 
 def _encode_parts(words: DataFrame, spec) -> DataFrame:
@@ -154,7 +154,7 @@ def _encode_parts(words: DataFrame, spec) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     dealt = words.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(of, "chunk long, part int, n_words long, sizes binary, ids binary")
+    return dealt.mapInArrow(tokens.trimmed(of), "chunk long, part int, n_words long, sizes binary, ids binary")
 
 
 def _put_in_place(key, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -197,17 +197,19 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     encoded = _encode_parts(_words(docs, spec), spec)
 
     def place(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_put_in_place(key, left, right), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+        placed = pa.Table.from_batches(_put_in_place(key, left, right), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+        tokens.trim()
+        return placed
 
     return _codes(docs, spec).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(place, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """``encoded`` (doc_id, ids) with the text that its ids' pieces make; special tokens are kept."""
-    spec = tokens.load(encoded.sparkSession, tokenizer_path)
+    vocabulary = tokens.load_pieces(encoded.sparkSession, tokenizer_path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(tokens.encoder(spec.value).pieces, pa.large_string())
+        pieces = pa.array(vocabulary.value, pa.large_string())
         for batch in batches:
             column = batch.column(1)
             for at in range(0, batch.num_rows, 500):
@@ -217,7 +219,7 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), joined), pa.scalar(" ", pa.large_string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), column.slice(at, 500), text.cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tokens.trimmed(of), "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame) -> DataFrame:

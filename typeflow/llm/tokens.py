@@ -8,11 +8,12 @@ encodes distinct words with the tokenizers library.  Ids are held as little-endi
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
 from array import array
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -25,6 +26,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 ID_BYTES = 4
+_C = ctypes.CDLL(None)
 #: Characters below this are in composed form, lower-case alone, and white space as Python and
 #: Arrow have it but for four separators, so both split such texts as the library does.
 _CARE = re.compile("[\x1c-\x1f]|[^\x00-ɏ]|<\\|")
@@ -40,6 +42,15 @@ def load(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
+def load_pieces(spark: SparkSession, path: str | None = None):
+    """The piece of each id as a broadcast of fixed size; decoding needs no more of the tokenizer."""
+    return spark.sparkContext.broadcast(_pieces(Tokenizer.from_file(path or default_path())))
+
+
+def _pieces(tokenizer: Tokenizer) -> list[str]:
+    return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+
 def _plain(text: str) -> bool:
     """True if Python and Arrow split the text as the library does."""
     try:
@@ -63,17 +74,15 @@ class WordEncoder:
     """Splits texts into words and encodes words; one for each tokenizer and Python worker."""
 
     def __init__(self, spec: str):
-        self._whole = Tokenizer.from_str(spec)
         self._words = Tokenizer.from_str(spec)
+        self._normalizer = self._words.normalizer
         self._words.normalizer = None
         self._words.encode_special_tokens = True
-        for t in (self._whole, self._words):
-            t.no_truncation()
-            t.no_padding()
-        self._special = {t.content: i for i, t in self._whole.get_added_tokens_decoder().items()}
+        self._words.no_truncation()
+        self._words.no_padding()
+        self._special = {t.content: i for i, t in self._words.get_added_tokens_decoder().items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
-        self.pieces = [self._whole.id_to_token(i) or "" for i in range(self._whole.get_vocab_size(with_added_tokens=True))]
-        self._ends = np.array([p.endswith("</w>") for p in self.pieces])
+        self._ends = np.array([p.endswith("</w>") for p in _pieces(self._words)])
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text; a special token is its string after a space, which no word has."""
@@ -84,7 +93,7 @@ class WordEncoder:
             if part in self._special:
                 out.append(" " + part)
             elif part:
-                normal = self._whole.normalizer.normalize_str(part) if self._whole.normalizer else part
+                normal = self._normalizer.normalize_str(part) if self._normalizer else part
                 out += [w for w in normal.split(" ") if w]
         return out
 
@@ -124,9 +133,28 @@ class WordEncoder:
         return [data[i:j] for i, j in zip([0, *cuts], cuts)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(spec: str) -> WordEncoder:
-    return WordEncoder(spec)
+    made = WordEncoder(spec)
+    trim()
+    return made
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: workers wait, and count, through later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def trimmed(of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``of`` for ``mapInArrow``, with its memory given back after the last batch of a task."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from of(batches)
+        trim()
+
+    return run
 
 
 class WordIds(dict):

@@ -126,3 +126,25 @@ def test_sharding_keeps_groups_and_splits_a_large_one(spark):
     assert pairs.where("n > 1").count() <= 10  # of 100
     assert cut.n_edges == 600 and cut.n_cut <= 400
     assert cut.n_cut < sharding.cut_edges(sharding.shard(df, rounds=0)).first().n_cut
+
+
+def test_sharding_keeps_groups_when_all_rows_are_linked(spark):
+    sizes = {"pair": [2] * 800, "some": [2 + k % 49 for k in range(62)], "tail": [400, 200, 150, *[90] * 5, *[7] * 50]}
+    texts = {kind: [f"{kind} {g}" for g, n in enumerate(ns) for _ in range(n)] for kind, ns in sizes.items()}
+    for kind, rows in texts.items():
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+        got = sharding.settle(sharding.shard(df))
+        check_shards(got.collect(), df.collect())
+        least = sum(max(0, n - len(rows) // 16) for n in sizes[kind])  # what larger groups than a shard must cut
+        cut = sharding.cut_edges(got).first()
+        assert cut.n_edges == len(rows)
+        assert cut.n_cut <= least + len(rows) // 20, kind
+
+
+def test_sharding_deals_a_bin_of_groups_again_when_no_quota_holds_it(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOVE_BINS", 40)
+    monkeypatch.setattr(sharding, "SLICE_PART", 1)
+    df = spark.createDataFrame([(i, f"pair {i // 2}") for i in range(640)], "doc_id long, text string").repartition(4)
+    got = sharding.settle(sharding.shard(df))
+    check_shards(got.collect(), df.collect())
+    assert sharding.cut_edges(got).first().n_cut <= 32

@@ -1,14 +1,21 @@
 """Sharding by balanced label propagation.
 
 Documents and link groups form a bipartite graph: each document of a group (equal texts, for
-``shard``) has one edge to the group's hub.  In each round a hub takes the label that most of
-its documents carry, the documents on other labels ask to move there, and moves are granted as
-long as the target's quota lasts.  Documents without links weigh nothing in the cut, so they
-only fill what room the linked ones leave.  Counts end at most one apart (law ``rows``).
-
-Work is bounded per task: ranks and quotas come from counts per (shard, bin), where bins are
-hashed, and a group that is large against a shard's capacity moves in hashed slices, so no
-group is ever gathered.  All of it is joins, aggregates and windows over hashed bins.
+``shard``) has one edge to the group's hub.  Hubs take the label that most of their documents
+carry among the labels whose quota holds them whole, and the documents take their hub's label.
+Quotas are of final counts, so what comes into a shard and what leaves it offset each other.
+Documents without links weigh nothing in the cut, so they only fill what room the linked ones
+leave.  Counts end at most one apart (law ``rows``).
+
+Hubs are served the largest first.  A group that is large against a shard's capacity is served
+by itself, the others in hashed bins of whole groups.  A bin that no quota holds waits for the
+next round, which deals it in finer bins; fewer bins than shards can wait, since together they
+are no larger than the quotas that are left, so each round leaves about 1 row in 256.  Only a group that
+no quota holds is split, by ranks, over as few shards as hold it.  A document has one group, so
+the cut can fall no more once no hub waits, and the rounds end.
+
+Work is bounded per task: ranks and votes come from counts per hashed bin, and no group is ever
+gathered.  All of it is joins, aggregates and windows over hashed bins.
 
 Defined cases: a null text has no bytes (size 1, crc of nothing) and no links; a null doc_id
 is placed like any other row; repeated rows are placed each; an empty table gives no rows;
@@ -17,6 +24,9 @@ columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +34,9 @@ from .common import settle, table
 
 SHARDS = 16
 ROUNDS = 8
-#: Hashed bins of a shard in which moves are granted as a whole.
+#: Hashed bins in which the hubs of groups that are not large are served.
 MOVE_BINS = 4096
-#: A group larger than this part of a shard's capacity moves in slices of about that size.
+#: A group larger than this part of a shard's capacity is served by itself.
 SLICE_PART = 64
 #: Rows that one window task ranks, on average.
 RANK_ROWS = 50_000
@@ -59,47 +69,62 @@ def _by_shard(values: list[int], shard: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("long") for v in values]), shard)
 
 
+def _deal(hubs: list, left: list[int], last: bool) -> tuple[list[tuple], list[tuple]]:
+    """Labels of ``hubs``, the largest first, as (hub, first, end, label) ranges of its rows; and the hubs that wait.
+
+    A hub takes the label with most votes among those whose quota holds it whole.  Where none does, a bin of
+    several groups waits to be dealt in finer bins, and a single group fills the largest quota and goes on.
+    """
+    dealt, waiting = [], []
+    for hub in sorted(hubs, key=lambda h: (-h["n"], h["hub"])):
+        votes, n, at = hub["votes"], hub["n"], 0
+        if max(left) < n and not (hub["single"] or last):
+            waiting.append((hub["hub"],))
+            continue
+        while at < n:
+            fits = [s for s in range(len(left)) if left[s] >= n - at]
+            to = max(fits, key=lambda s: (votes[s], left[s])) if fits else max(range(len(left)), key=lambda s: (left[s], votes[s]))
+            end = n if fits or left[to] <= 0 else at + left[to]
+            left[to] -= end - at
+            dealt.append((hub["hub"], at, end, to))
+            at = end
+    return dealt, waiting
+
+
 def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of moves over ``linked`` (key, unit, group, shard, ...); ends early when none is granted."""
-    for _ in range(rounds):
-        votes = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        load = [0] * len(capacity)
-        for row in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
-            load[row["shard"]] = row["n"]
-        room = [max(0, c - n) for c, n in zip(capacity, load)]
-        # a full shard takes no one in, so a hub looks for its most frequent label with room,
-        # and only a label with at least as many votes as the mover's own attracts
-        open_ = _by_shard(room, F.col("shard")) > 0
-        hubs = (
-            votes.where(open_)
-            .groupBy("group")
-            .agg(F.max(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("best"))
-            .select("group", F.col("best.shard").alias("to"), F.col("best.n").alias("to_n"), F.col("best.tie").alias("to_tie"))
-        )
-        wishes = (
-            votes.join(hubs, "group")
-            .where((F.col("to") != F.col("shard")) & (F.struct("to_n", "to_tie") > F.struct("n", F.xxhash64("group", "shard"))))
-            .select("group", "shard", "to")
-        )
-        asking = linked.join(wishes, ["group", "shard"], "left").withColumn("move_bin", F.pmod("unit", F.lit(MOVE_BINS)))
-        asked = asking.where(F.col("to").isNotNull()).groupBy("to", "move_bin").agg(F.count("*").alias("n"))
-        sofar = Window.partitionBy("to").orderBy("move_bin").rowsBetween(Window.unboundedPreceding, 0)
-        granted = (
-            asked.withColumn("sofar", F.sum("n").over(sofar))
-            .where(F.col("sofar") <= _by_shard(room, F.col("to")))
-            .select("to", "move_bin", F.lit(True).alias("granted"))
-        )
-        moved = asking.join(F.broadcast(granted), ["to", "move_bin"], "left")  # at most SHARDS * MOVE_BINS rows
-        moved = settle(
-            moved.withColumn("moves", F.coalesce("granted", F.lit(False)))
-            .withColumn("shard", F.when(F.col("moves"), F.col("to")).otherwise(F.col("shard")))
-            .select(*linked.columns, "moves")
-        )
-        some = moved.where("moves").limit(1).count()
-        linked = moved.drop("moves")
-        if not some:
+    """Labels of ``linked`` (doc_id, text_crc32, unit, group, shard, ...) after hubs took theirs; ends when no hub waits."""
+    spark, shards, left = linked.sparkSession, len(capacity), list(capacity)
+    slice_rows = max(1, sum(capacity) // (shards * SLICE_PART))
+    large = linked.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
+    large = settle(large.select("group", F.concat(F.lit("g"), F.hex("group")).alias("large")))  # at most 2 * SHARDS * SLICE_PART rows
+    votes = F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)])
+    tag = F.xxhash64("group")
+    columns, done = linked.columns, []
+    for k in range(rounds):
+        bin_ = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(MOVE_BINS)).cast("string")
+        if k == 0:
+            keyed = linked.join(F.broadcast(large), "group", "left").withColumn("hub", F.coalesce("large", bin_))
+        else:
+            keyed = linked.withColumn("hub", bin_)
+        counts = keyed.groupBy("hub").agg(F.count("*").alias("n"), (F.min(tag) == F.max(tag)).alias("single"), votes.alias("votes"))
+        dealt, waiting = _deal(counts.collect(), left, k == rounds - 1)  # a row for each bin and large group
+        pieces = Counter(hub for hub, *_ in dealt)
+        whole = [(hub, to) for hub, _, _, to in dealt if pieces[hub] == 1]
+        labels = spark.createDataFrame(whole, "hub string, to int")
+        done.append(keyed.join(F.broadcast(labels), "hub").withColumn("shard", F.col("to")).select(columns))
+        split = [x for x in dealt if pieces[x[0]] > 1]
+        if split:
+            ranges = spark.createDataFrame(split, "hub string, first long, end long, to int")
+            hubs = spark.createDataFrame([(h,) for h in sorted({x[0] for x in split})], "hub string")
+            rows = settle(keyed.join(F.broadcast(hubs), "hub").select(*columns, "hub"))
+            bins = _bins(sum(capacity)) * SHARDS
+            rows = _ranked(rows, F.col("hub"), bins, [F.col(c) for c in ("unit", "doc_id", "text_crc32")], "rank")
+            inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+            done.append(rows.join(F.broadcast(ranges), "hub").where(inside).withColumn("shard", F.col("to")).select(columns))
+        if not waiting:
             break
-    return linked
+        linked = settle(keyed.join(F.broadcast(spark.createDataFrame(waiting, "hub string")), "hub", "left_semi").select(columns))
+    return settle(reduce(DataFrame.unionByName, done)) if done else linked
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -114,15 +139,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     base = settle(base)
     rows = base.count()
     capacity = [rows // shards + (s < rows % shards) for s in range(shards)]
-    slice_rows = max(1, rows // (shards * SLICE_PART))
 
     sizes = base.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
     own = F.xxhash64("doc_id", "text_crc32")
-    slices = F.greatest(F.lit(1), F.ceil(F.col("group_rows") / F.lit(slice_rows))).cast("long")
-    marked = base.join(sizes, "group", "left").withColumn(
-        "unit", F.when(F.col("group_rows").isNull(), own).otherwise(F.xxhash64("group", F.pmod(own, slices)))
-    )
-    # a unit starts on one shard; free documents have none until they fill the room that is left
+    marked = base.join(sizes, "group", "left").withColumn("unit", own)
+    # linked documents start on a hashed shard; free ones have none until they fill the room that is left
     marked = settle(
         marked.withColumn("shard", F.when(F.col("group_rows").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
         .withColumn("group", F.when(F.col("group_rows").isNotNull(), F.col("group")))

@@ -8,6 +8,13 @@ def test_query_matches_sql(name, same_rows):
     same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+def test_resolve_nested_all_converts_every_element(spark, sf_dir):
+    whole = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = {r.vec_id: r.t for r in queries.QUERIES["resolve_nested_all"](spark, sf_dir).collect()}
+    assert got == {k: "_".join(str(int(x * 1000) * 2) for x in v) for k, v in whole.items()}
+    assert all(len(t.split("_")) == 64 for t in got.values())
+
+
 def test_exec_status(spark, sf_dir, duck):
     got = {r.s_suppkey: r.exit_code for r in queries.QUERIES["exec_status"](spark, sf_dir).collect()}
     assert got == {k: 0 if n < 20 else 1 for k, n in duck.sql("SELECT s_suppkey, s_nationkey FROM supplier").fetchall()}

@@ -303,15 +303,24 @@ def resolve_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").select("n_nationkey", context.resolve(F.col("n_name"), "str", "str", via="int").alias("n_name"))
 
 
-@_query("SELECT vec_id, array_to_string(list_transform(embedding[1:3], lambda v: CAST(CAST(trunc(v * 1000) AS INTEGER) * 2 AS VARCHAR)), '_') AS t FROM embeddings")
-def resolve_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of a tuple converted by the rules of the scope that the tuple is resolved in."""
+def _nested_context() -> Context:
     registry = default_registry()
     registry.add("float", "str", lambda v: convert.to_string(convert.to_int(v.cast("double") * 1000) * 2), "app")
     registry.add("tuple", "str", lambda v, context: convert.join_elements(v, lambda x: context.resolve(x, "float", "str"), "_"), "app", nested=True)
-    context = Context(registry).inside("app")
+    return Context(registry).inside("app")
+
+
+@_query("SELECT vec_id, array_to_string(list_transform(embedding[1:3], lambda v: CAST(CAST(trunc(v * 1000) AS INTEGER) * 2 AS VARCHAR)), '_') AS t FROM embeddings")
+def resolve_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three elements of a tuple converted by the rules of the scope that the tuple is resolved in."""
     scaled = F.slice("embedding", 1, 3)
-    return _t(spark, sf_dir, "embeddings").select("vec_id", context.resolve(scaled, "tuple", "str").alias("t"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", _nested_context().resolve(scaled, "tuple", "str").alias("t"))
+
+
+@_query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CAST(CAST(trunc(v * 1000) AS INTEGER) * 2 AS VARCHAR)), '_') AS t FROM embeddings")
+def resolve_nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All elements of a tuple converted by the rules of the scope that the tuple is resolved in."""
+    return _t(spark, sf_dir, "embeddings").select("vec_id", _nested_context().resolve(F.col("embedding"), "tuple", "str").alias("t"))
 
 
 # assets and references

@@ -1,3 +1,5 @@
+import heapq
+
 import pytest
 
 from typeflow import queries
@@ -15,6 +17,32 @@ def test_resolve_nested_all_converts_every_element(spark, sf_dir):
     assert all(len(t.split("_")) == 64 for t in got.values())
 
 
+def brute_paths(edges, source):
+    best, queue = {}, [(0, 0, source, source)]
+    while queue:
+        cost, hops, path, node = heapq.heappop(queue)
+        if node not in best:
+            best[node] = (cost, hops, path)
+            for dst, weight in edges.get(node, {}).items():
+                heapq.heappush(queue, (cost + weight, hops + 1, f"{path}>{dst}", dst))
+    return best
+
+
+def test_paths_over_all_line_items(spark, sf_dir, duck):
+    edges = {}
+    for part, supplier, weight in duck.sql("SELECT 'p' || l_partkey, 's' || l_suppkey, min(l_quantity)::BIGINT FROM lineitem GROUP BY ALL").fetchall():
+        edges.setdefault(part, {})[supplier] = weight
+        edges.setdefault(supplier, {})[part] = weight
+    want = brute_paths(edges, "p1")
+    assert len(want) == len(edges) > 200
+    got = queries.QUERIES["graph_sssp_supply"](spark, sf_dir).collect()
+    assert {r.node: (r.cost, r.hops, r.path) for r in got} == want
+    cost, _, path = want["s1"]
+    via = {node: (cost + c, path + p[len("s1") :]) for node, (c, _, p) in brute_paths(edges, "s1").items()}
+    got = queries.QUERIES["graph_waypoint_supply"](spark, sf_dir).collect()
+    assert {r.node: (r.cost, r.path) for r in got} == via
+
+
 def test_exec_status(spark, sf_dir, duck):
     got = {r.s_suppkey: r.exit_code for r in queries.QUERIES["exec_status"](spark, sf_dir).collect()}
     assert got == {k: 0 if n < 20 else 1 for k, n in duck.sql("SELECT s_suppkey, s_nationkey FROM supplier").fetchall()}

@@ -217,6 +217,24 @@ def graph_waypoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.paths_via(_nation_edges(spark, sf_dir), F.lit(0), F.lit(3))
 
 
+def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers that a line item joins, both ways, weighted by its quantity; grows with the data."""
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    weight = F.col("l_quantity").cast("long").alias("weight")
+    lines = _t(spark, sf_dir, "lineitem")
+    return lines.select(part.alias("src"), supplier.alias("dst"), weight).unionByName(lines.select(supplier.alias("src"), part.alias("dst"), weight))
+
+
+@_query()
+def graph_sssp_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_paths(_supply_edges(spark, sf_dir), F.lit("p1"))
+
+
+@_query()
+def graph_waypoint_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.paths_via(_supply_edges(spark, sf_dir), F.lit("p1"), F.lit("s1"))
+
+
 @_query("""
 SELECT l_partkey, l_suppkey FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber % 2, l_returnflag <> 'N', l_suppkey % 5 DESC, l_orderkey, l_linenumber, l_suppkey) AS n
@@ -303,6 +321,12 @@ def resolve_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").select("n_nationkey", context.resolve(F.col("n_name"), "str", "str", via="int").alias("n_name"))
 
 
+@_query("SELECT c_custkey, c_name FROM customer")
+def resolve_passthrough_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context = Context(default_registry())
+    return _t(spark, sf_dir, "customer").select("c_custkey", context.resolve(F.col("c_name"), "str", "str", via="int").alias("c_name"))
+
+
 def _nested_context() -> Context:
     registry = default_registry()
     registry.add("float", "str", lambda v: convert.to_string(convert.to_int(v.cast("double") * 1000) * 2), "app")

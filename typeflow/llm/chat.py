@@ -1,7 +1,7 @@
 """Chat formatting with relational operators.
 
-A conversation's turns are collected as structs and sorted; neighbours of one role are merged
-into a block by an array aggregation, and blocks are concatenated.  A block is
+A conversation's turns are collected as structs and sorted, all in one row; each turn looks up
+its neighbours' roles, so that neighbours of one role share a block, and blocks are concatenated.  A block is
 ``<|im_start|>role\\ntext<|im_sep|>text<|im_end|>\\n``; the separator stands between merged
 turns, so the turns can be read back.  The result is an array of segments, each with a loss flag:
 ``formatted`` is their concatenation and the loss mask covers just the assistants' texts.

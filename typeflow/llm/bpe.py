@@ -7,16 +7,20 @@ to the chunks that asked and are put in place of the word numbers.  Only distinc
 chunks and compressed word numbers are shuffled, never the text or one row a word.  A word that
 is in every text is in every chunk once, so it makes no hot key.
 
-Decoding looks up the pieces of the ids in the vocabulary, whose size the tokenizer fixes, and
-joins them with the space that the library's decoder puts between pieces.
+Decoding looks up the pieces of the ids in the vocabulary, whose size the tokenizer fixes (a join
+with that small side by position), and joins them with the space that the library's decoder puts
+between pieces.
 
 The chunks are made twice, once for the words and once for the numbers, so ``docs`` must be
 read from storage or settled; both readings carry a checksum of the chunk's words, and the join
 fails rather than mix chunks that differ.
 
-Defined cases: a null text is empty and has no ids; strings of special tokens in a text become
-their id, as in the library; a null doc_id is kept; repeated rows are encoded each; an empty
-table gives no rows; columns besides doc_id and text are ignored.
+The table's parts grow with the input, up to MOST_PARTS; beyond that a part's words are many, and
+its task forgets them after KNOWN_WORDS, so memory stays bounded and a word may be encoded again.
+
+Defined cases: a null text is empty and has no ids; a very long text is a chunk of its own; strings
+of special tokens in a text become their id, as in the library; a null doc_id is kept; repeated rows
+are encoded each; an empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +42,12 @@ from .common import table
 #: A chunk ends when its texts have this many characters, or this many distinct words.
 CHUNK_CHARS = 8_000_000
 CHUNK_WORDS = 200_000
-#: Parts of the distinct-word table.
-PARTS = 512
+#: Parts of the distinct-word table: PARTS_PER_SPLIT for each split of the input, within these bounds.  The upper
+#: one keeps a dozen words or more of a full chunk in each packed row that goes to a part.
+PARTS_PER_SPLIT = 4
+LEAST_PARTS, MOST_PARTS = 512, 1 << 14
+#: Words that a task on a part keeps the ids of.
+KNOWN_WORDS = 1_000_000
 #: Ids in one output batch.
 BATCH_IDS = 1_000_000
 
@@ -64,13 +72,18 @@ class _Chunk:
     def full(self) -> bool:
         return self.chars >= CHUNK_CHARS or len(self.number) >= CHUNK_WORDS
 
-    def ordered(self) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-        """Words, the part of each, the order that puts parts together, and a checksum."""
+    def ordered(self, parts: int) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+        """Words, the part of each of them, the order that puts parts together, and a checksum."""
         words = list(self.number)
-        part = np.fromiter((zlib.crc32(w.encode()) for w in words), dtype="<u4", count=len(words)) % PARTS
+        part = np.fromiter((zlib.crc32(w.encode()) for w in words), dtype="<u4", count=len(words)) % parts
         return words, part, np.argsort(part, kind="stable"), zlib.crc32(" ".join(words).encode())
 
 
+def parts_for(splits: int) -> int:
+    """Parts of the distinct-word table for an input of ``splits`` splits: a power of two."""
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << (splits * PARTS_PER_SPLIT - 1).bit_length()))
+
+
 def _narrow(codes: np.ndarray) -> bytes:
     """Numbers in two bytes each where they fit, after a byte that tells which."""
     small = not len(codes) or codes.max() < 1 << 16
@@ -96,30 +109,31 @@ def _chunks(batches: Iterator[pa.RecordBatch], spec: str, keep: bool) -> Iterato
         yield first + n, chunk
 
 
-def _words(docs: DataFrame, spec) -> DataFrame:
-    """part, chunk, words: the distinct words of each chunk that belong to the part, in the chunk's order, as packed lines."""
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
+def _words(docs: DataFrame, spec, parts: int) -> DataFrame:
+    """part, chunk, check, words: the distinct words of each chunk that belong to the part, in the chunk's order, as packed lines."""
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("check", pa.int64()), ("words", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for number, chunk in _chunks(batches, spec.value, keep=False):
-            words, part, order, _ = chunk.ordered()
-            parts, counts = np.unique(part, return_counts=True)
+            words, part, order, check = chunk.ordered(parts)
+            used, counts = np.unique(part, return_counts=True)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             dealt = [words[i] for i in order]
             lines = [squeeze("\n".join(dealt[i:j]).encode()) for i, j in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), number)), pa.array(lines, pa.binary())], schema=schema)
+            same = [pa.array(np.full(len(used), v, np.int64)) for v in (number, check)]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *same, pa.array(lines, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(tokens.trimmed(of), "part int, chunk long, words binary")
+    return docs.mapInArrow(tokens.trimmed(of), "part int, chunk long, check long, words binary")
 
 
-def _codes(docs: DataFrame, spec) -> DataFrame:
-    """chunk, check, doc_id, codes: a row for each text, and one without check's null whose codes are the words' order."""
+def _codes(docs: DataFrame, spec, parts: int) -> DataFrame:
+    """chunk, check, doc_id, codes: a row for each text, and a first one with the chunk's checksum and the order of its words."""
     schema = pa.schema([("chunk", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in _chunks(batches, spec.value, keep=True):
-            _, _, order, check = chunk.ordered()
+            _, _, order, check = chunk.ordered(parts)
             packed = zstandard.ZstdCompressor(level=1).compress(_narrow(order.astype("<u4")))
             for at in range(0, len(chunk.docs), 5000):
                 own = chunk.docs[at : at + 5000]
@@ -132,8 +146,8 @@ def _codes(docs: DataFrame, spec) -> DataFrame:
 
 
 def _encode_parts(words: DataFrame, spec) -> DataFrame:
-    """chunk, part, sizes, ids: each part of the distinct-word table encodes each of its words once."""
-    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n_words", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary())])
+    """chunk, check, part, sizes, ids: each part of the distinct-word table encodes each of its words once."""
+    schema = pa.schema([("chunk", pa.int64()), ("check", pa.int64()), ("part", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(spec.value)
@@ -142,19 +156,19 @@ def _encode_parts(words: DataFrame, spec) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             rows = []
-            for part, chunk, lines in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != current:
+            for part, chunk, check, lines in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != current or len(known) > KNOWN_WORDS:
                     known, current = {}, part
                 words = zstandard.ZstdDecompressor().decompress(lines).decode().split("\n")
                 encoder.learn([w for w in words if w not in known], known)
                 found = [known[w] for w in words]
                 sizes = np.fromiter(map(len, found), dtype="<u4", count=len(found)) // tokens.ID_BYTES
-                rows.append((chunk, part, len(words), squeeze(_narrow(sizes)), squeeze(_narrow(np.frombuffer(b"".join(found), dtype="<u4")))))
+                rows.append((chunk, check, part, squeeze(_narrow(sizes)), squeeze(_narrow(np.frombuffer(b"".join(found), dtype="<u4")))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     dealt = words.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(tokens.trimmed(of), "chunk long, part int, n_words long, sizes binary, ids binary")
+    return dealt.mapInArrow(tokens.trimmed(of), "chunk long, check long, part int, sizes binary, ids binary")
 
 
 def _put_in_place(key, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -164,8 +178,9 @@ def _put_in_place(key, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBat
     sizes = np.concatenate([_widen(s).astype(np.int64) for _, s, _ in parts] or [np.zeros(0, np.int64)])
     flat = np.concatenate([_widen(i).astype("<u4") for _, _, i in parts] or [np.zeros(0, "<u4")])
     codes, heads = left["codes"], [i for i, c in enumerate(left["check"].to_pylist()) if c is not None]
-    order = np.concatenate([_widen(codes[i].as_py()).astype(np.int64) for i in heads])
-    if len(heads) != 1 or len(order) != len(sizes):
+    order = np.concatenate([np.zeros(0, np.int64), *(_widen(codes[i].as_py()).astype(np.int64) for i in heads)])
+    checks = {*right["check"].to_pylist(), *(left["check"][i].as_py() for i in heads)}
+    if len(heads) != 1 or len(checks) != 1 or len(order) != len(sizes):
         raise ValueError("a chunk's words changed between two readings; settle the documents first")
     start, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     start[order] = np.cumsum(sizes) - sizes
@@ -194,14 +209,15 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id and ids (binary, see ``tokens``) for each row of ``docs``."""
     spec = tokens.load(docs.sparkSession, tokenizer_path)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = _encode_parts(_words(docs, spec), spec)
+    parts = parts_for(docs.rdd.getNumPartitions())  # ``docs`` is read from storage, so this runs nothing
+    encoded = _encode_parts(_words(docs, spec, parts), spec)
 
     def place(key, left: pa.Table, right: pa.Table) -> pa.Table:
         placed = pa.Table.from_batches(_put_in_place(key, left, right), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
         tokens.trim()
         return placed
 
-    return _codes(docs, spec).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(place, "doc_id long, ids binary")
+    return _codes(docs, spec, parts).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(place, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

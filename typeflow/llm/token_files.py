@@ -4,19 +4,20 @@ Documents are range-partitioned and sorted by doc_id; each partition becomes a s
 a run of chunks of whole documents; a chunk cuts its ids into blocks of BLOCK_IDS ids, transposes
 each block into byte planes (all lowest bytes, then all second bytes, ...) and compresses each
 plane with zstandard.  Chunks are rows of a Parquet table ``chunks`` with the documents' ids and
-lengths; ``index`` tells, for each chunk, the first id's place in the whole sequence, so any
-document is reached by reading one chunk.  Spark's writer and reader move all bytes, so any file
-system it knows will do, and a lost task is written again or not at all.
-
-Defined cases: a null text is empty, so it has the end id only; null doc_ids come first; rows of
-equal doc_id are in the order of their text; an empty table makes empty files; columns besides
-doc_id and text are ignored.
+lengths.  ``index`` holds, for each chunk, its first id's place in the whole sequence and its least
+and greatest doc_id: ``read`` takes the places from it, and ``read_documents`` opens only the chunks
+whose bounds hold a wanted doc_id.  Spark's writer and reader move all bytes, so any file system it
+knows will do, and a lost task is written again or not at all.
+
+Defined cases: a null text is empty, so it has the end id only; a very long text is encoded whole
+and is a chunk of its own; null doc_ids come first; rows of equal doc_id are in the order of their
+text's 64-bit hash, and equal rows may be dealt over several shards, so they make no hot range; an
+empty table makes empty files; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shared_folder, table
+from .common import new_folder, portions, remove, settle, table
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
@@ -68,10 +69,11 @@ def unpack(planes: list[bytes]) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, shards: int | None = None, end_id: int = END_ID) -> None:
-    """Encode ``docs`` and write them as token files under ``path``."""
+    """Encode ``docs`` and write them as token files under ``path``; shards grow in number with the input's splits."""
     spark = docs.sparkSession
     spec = tokens.load(spark, tokenizer_path)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def row(chunk: int, start: int, docs: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
@@ -84,7 +86,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, shards:
         chunk = start = size = 0
         held: list[tuple[int | None, bytes]] = []
         for batch in batches:
-            encoded = (ids for run in tokens.portions(t.as_py() or "" for t in batch.column(1)) for ids in known.texts(run))
+            encoded = (ids for run in portions(t.as_py() or "" for t in batch.column(1)) for ids in known.texts(run))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
                 held.append((doc_id, ids + end))
                 size += len(held[-1][1]) // tokens.ID_BYTES
@@ -94,13 +96,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, shards:
         if held:
             yield row(chunk, start, held)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    keyed = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("own"))
+    dealt = keyed.repartitionByRange(shards, "doc_id", "hash", "own").sortWithinPartitions("doc_id", "hash", "own").select("doc_id", "text")
     dealt.mapInArrow(of, _DDL).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "shard_start", "n_ids")
-    starts = _shard_starts(chunks)
-    placed = chunks.join(F.broadcast(starts), "shard").select("shard", "chunk", (F.col("before") + F.col("shard_start")).alias("first_id"), "n_ids")
+    bounds = [F.array_min("doc_ids").alias("least_doc_id"), F.array_max("doc_ids").alias("greatest_doc_id"), F.exists("doc_ids", lambda d: d.isNull()).alias("has_null")]
+    chunks = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "shard_start", "n_ids", *bounds)
+    first = (F.col("before") + F.col("shard_start")).alias("first_id")
+    placed = chunks.join(F.broadcast(_shard_starts(chunks)), "shard").select("shard", "chunk", first, "n_ids", "least_doc_id", "greatest_doc_id", "has_null")
     placed.write.parquet(f"{path}/index")
 
 
@@ -110,10 +113,8 @@ def _shard_starts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (binary) of each document in the files; no shuffle of the chunks."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    starts = _shard_starts(chunks.select("shard", "n_ids"))
+def _documents(placed: DataFrame, wanted: frozenset[int | None] | None = None) -> DataFrame:
+    """doc_id, start, ids of the documents in chunks with their first_id; of the ``wanted`` ones only, if given."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,16 +123,48 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack(planes)
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
-                for at in range(0, len(doc_ids), 2000):
-                    part = slice(at, at + 2000)
+                picked = np.array([i for i, d in enumerate(doc_ids) if wanted is None or d in wanted], dtype=np.int64)
+                for at in range(0, len(picked), 2000):
+                    part = picked[at : at + 2000]
                     data = [ids[b:e].tobytes() for b, e in zip(begins[part], ends[part])]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[part], pa.int64()), pa.array(first + begins[part]), pa.array(data, pa.binary())], names=["doc_id", "start", "ids"])
+                    own = pa.array([doc_ids[i] for i in part], pa.int64())
+                    yield pa.RecordBatch.from_arrays([own, pa.array(first + begins[part]), pa.array(data, pa.binary())], names=["doc_id", "start", "ids"])
+
+    return placed.select("first_id", "doc_ids", "lengths", "planes").mapInArrow(of, "doc_id long, start long, ids binary")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, ids (binary) of each document in the files; no shuffle of the chunks."""
+    # where each shard begins, from the index: one row a shard, so its size is bounded by the number of write partitions
+    begins = spark.read.parquet(f"{path}/index").where("chunk = 0").select("shard", F.col("first_id").alias("before"))
+    chunks = spark.read.parquet(f"{path}/chunks").join(F.broadcast(begins), "shard")
+    return _documents(chunks.withColumn("first_id", F.col("before") + F.col("shard_start")))
+
+
+def wanted_chunks(spark: SparkSession, path: str, doc_ids: Iterable[int | None]) -> DataFrame:
+    """shard, chunk and first_id of the chunks whose bounds hold some of ``doc_ids``."""
+    ids = sorted({d for d in doc_ids if d is not None})
+    index = spark.read.parquet(f"{path}/index")
+    inside = F.exists(F.lit(ids).cast("array<bigint>"), lambda d: (d >= F.col("least_doc_id")) & (d <= F.col("greatest_doc_id")))
+    return index.where(inside | (F.lit(None in doc_ids) & F.col("has_null"))).select("shard", "chunk", "first_id")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int | None]) -> DataFrame:
+    """doc_id, start, ids of the documents of a short list of doc_ids (None: those without); other chunks are not opened.
 
-    placed = chunks.join(F.broadcast(starts), "shard").select((F.col("before") + F.col("shard_start")).alias("first"), "doc_ids", "lengths", "planes")
-    return placed.mapInArrow(of, "doc_id long, start long, ids binary")
+    The chunks' places, a few for each id, go into the scan's filter, so Parquet skips the rest by its statistics.
+    """
+    wanted = frozenset(doc_ids)
+    places = wanted_chunks(spark, path, wanted).collect()
+    near = F.col("shard").isin(sorted({p["shard"] for p in places})) & F.col("chunk").isin(sorted({p["chunk"] for p in places}))
+    first = spark.createDataFrame([tuple(p) for p in places], "shard int, chunk int, first_id long")
+    return _documents(spark.read.parquet(f"{path}/chunks").where(near).join(F.broadcast(first), ["shard", "chunk"]), wanted)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    """Digests read back from files of all documents; the files are removed once those are settled."""
+    path = new_folder(spark, "token-files")
     write(table(spark, sf_dir, "documents"), path)
-    return read(spark, path).select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    found = settle(read(spark, path).select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
+    remove(spark, path)
+    return found

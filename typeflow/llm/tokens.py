@@ -191,16 +191,3 @@ class WordIds(dict):
         data = data.to_pybytes() if data else b""
         found = dict(zip(order, (data[i:j] for i, j in zip(cuts, cuts[1:]))))
         return [found[i] for i in range(len(texts))]
-
-
-def portions(texts: Iterable[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    """The texts in runs of about ``chars`` characters, one text at least."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t) + 1
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held

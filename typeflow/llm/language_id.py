@@ -2,19 +2,23 @@
 
 Learning counts n-grams on the executors and sends only the summed (language, bucket) counts to
 the driver, a matrix of fixed width.  It reads at most about ``sample`` labelled documents a
-language, chosen by a hash of doc_id, whole texts each.  The log-probability matrix is broadcast,
-and a batch of texts is scored by numpy gathers: each n-gram's bucket picks a row per language,
-and rows are summed within each text.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0; documents with a
-null lang are predicted but not learned from; a null doc_id counts as held out; with nothing to
-learn from all is ``und``; repeated rows are predicted each; an empty table gives no rows; other
-columns are ignored.
+language, chosen by a hash of doc_id, whole texts each.  The log-probability matrix is broadcast.
+Texts are scored many at a time: all their n-grams form one sparse matrix of (text, bucket)
+places, which picks entries of a language's log-probabilities, summed by text.
+
+Texts are read in runs of STEP_CHARS characters; a text that a run cuts goes on in the next one
+with the last characters of the former before it, and every n-gram is counted just once.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0; a very long text is
+scored whole, in runs of bounded memory; documents with a null lang are predicted but not learned
+from; a null doc_id counts as held out; with nothing to learn from all is ``und``; repeated rows
+are predicted each; an empty table gives no rows; other columns are ignored; more than
+MAX_LANGUAGES values of lang are an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import free_name, held_out, table
+from .labelled import in_sample
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -32,9 +37,11 @@ SAMPLE = 10_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Characters of text that are turned into buckets at once.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 #: Weight of one n-gram's evidence: overlapping n-grams repeat each other.
 TEMPER = 1 / len(ORDERS)
+#: Languages that a model may have, which bounds its matrix to 64 MB.
+MAX_LANGUAGES = 512
 
 
 @dataclass(frozen=True)
@@ -44,39 +51,65 @@ class Model:
     log_prior: np.ndarray
 
 
-def _letters(text: str) -> np.ndarray:
-    """Code points of the lower-case text, with every run of other characters one space."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    other = (points < 97) | ((points > 122) & (points < 170))
-    points[other] = 32
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = ~(other[1:] & other[:-1])
-    return points[keep]
-
-
-def buckets(points: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order the buckets of the n-grams of ``points``."""
-    key = np.zeros(len(points), dtype=np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        if len(points) < n:
-            return
-        key = key[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :].astype(np.uint64) + np.uint64(n)
-        if n in ORDERS:
-            yield ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-
-
-def _pieces(text: str) -> Iterator[np.ndarray]:
-    """The text's code points in pieces that overlap by an n-gram less one character, so no n-gram is lost or repeated."""
-    points = _letters(text)
-    for at in range(0, max(1, len(points)), STEP_CHARS):
-        yield points[at : at + STEP_CHARS + max(ORDERS) - 1] if at + STEP_CHARS < len(points) else points[at:]
-
-
-def _count(text: str) -> np.ndarray:
+def _runs(texts: Iterable[str]) -> Iterator[tuple[list[int], list[str], bool, bool]]:
+    """Runs of lower-case texts: their numbers, the texts or parts of texts, and whether the first began, or the last ends, elsewhere."""
+    numbers, parts, size, begun = [], [], 0, False
+    for i, text in enumerate(texts):
+        text, at = text.lower(), 0
+        while True:
+            part = text[at : at + STEP_CHARS - size]
+            numbers.append(i)
+            parts.append(part)
+            size, at = size + len(part), at + len(part)
+            cut = at < len(text)
+            if size >= STEP_CHARS:
+                yield numbers, parts, begun, cut
+                numbers, parts, size, begun = [], [], 0, cut
+            if not cut:
+                break
+    if parts:
+        yield numbers, parts, begun, False
+
+
+def ngrams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every n-gram of every text, in many pairs of arrays.
+
+    A text's characters are its lower-case code points, with every run of other characters one space.
+    """
+    width = max(ORDERS) - 1
+    carried, after_other = np.zeros(0, "<u4"), False
+    for numbers, parts, begun, cut in _runs(texts):
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        raw = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        other = (raw < 97) | ((raw > 122) & (raw < 170))
+        keep = np.ones(len(raw), dtype=bool)
+        keep[1:] = ~(other[1:] & other[:-1])
+        keep[(np.cumsum(lengths) - lengths)[lengths > 0]] = True  # what stands before a text is another text's
+        if begun and len(raw) and other[0] and after_other:
+            keep[0] = False
+        points = np.where(other, np.uint32(32), raw)[keep]
+        row = np.repeat(np.array(numbers, np.int64), lengths)[keep]
+        seen = len(carried) if begun else 0
+        if seen:
+            points, row = np.concatenate([carried, points]), np.concatenate([np.full(seen, numbers[0]), row])
+        key = np.zeros(len(points), dtype=np.uint64)
+        for n in range(1, min(max(ORDERS), len(points)) + 1):
+            key = key[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
+            if n in ORDERS:
+                inside = row[: len(key)] == row[n - 1 :]
+                inside[: max(0, seen - n + 1)] = False  # the former run had these
+                mixed = (key[inside] ^ (key[inside] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield row[: len(key)][inside], (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        if cut:
+            last = points[row == numbers[-1]]
+            carried, after_other = last[len(last) - min(width, len(last)) :], bool(other[-1])
+
+
+def count(texts: Iterable[str]) -> np.ndarray:
+    """How often each bucket's n-grams stand in all of ``texts``."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for points in _pieces(text):
-        for b in buckets(points):
-            total += np.bincount(b, minlength=BUCKETS)
+    for _, found in ngrams(texts):
+        total += np.bincount(found, minlength=BUCKETS)
     return total
 
 
@@ -85,17 +118,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     usable = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     if not sizes:
         return Model((), np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))) for lang, n in sizes.items()])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = usable.where(F.coalesce(*[F.when(F.col("lang") == lang, in_sample(F.col("doc_id"), sample, n)) for lang, n in sizes.items()]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[lang] = counts.get(lang, 0) + _count(text.as_py())
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            for lang in set(langs):
+                counts[lang] = counts.get(lang, 0) + count(batch.column(0)[int(i)].as_py() for i in np.flatnonzero(langs == lang))
         for lang, row in counts.items():
             at = np.nonzero(row)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
@@ -114,10 +149,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def score_texts(texts: list[str], model: Model) -> np.ndarray:
     """Log-likelihoods, texts x languages."""
     out = np.zeros((len(texts), len(model.languages)))
-    for i, text in enumerate(texts):
-        for points in _pieces(text):
-            for b in buckets(points):
-                out[i] += model.log_prob[:, b].sum(axis=1, dtype=np.float64)
+    for row, bucket in ngrams(texts):
+        if len(row):
+            first = row[0]  # a run holds neighbouring texts
+            row = row - first
+            for k in range(len(model.languages)):
+                sums = np.bincount(row, weights=model.log_prob[k][bucket])
+                out[first : first + len(sums), k] += sums
     return out
 
 

@@ -8,10 +8,11 @@ sigmoid of the entries its bins pick, added up.
 
 The model is fitted in numpy on the features of about ``sample`` labelled rows.
 
-Defined cases: a null or empty text has no words and gets the features of an empty text; a null
-doc_id counts as held out; null labels and labels of unknown documents teach nothing; with nothing
-to learn from every score is 0.5; repeated rows are scored each; an empty table gives no rows;
-columns besides doc_id and text are ignored.
+Defined cases: a null or empty text has no words and gets the features of an empty text; a very long
+text is measured whole; a null doc_id counts as held out; null labels and labels of unknown
+documents teach nothing; of rows that share a sampled doc_id the one with the least features is
+learned from; with nothing to learn from every score is 0.5; repeated rows are scored each; an empty
+table gives no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -161,7 +162,9 @@ def predict(x: np.ndarray, model: Model) -> np.ndarray:
 def learn(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model fitted on the features of about ``sample`` labelled documents that are not held out."""
     chosen = labelled_sample(labels, ["quality"], sample)  # at most about ``sample`` rows
-    rows = measured.join(F.broadcast(chosen), "doc_id").toArrow()
+    joined = measured.join(F.broadcast(chosen), "doc_id")
+    # one row a sampled doc_id, however often the documents repeat it
+    rows = joined.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("m"), F.max("quality").alias("quality")).select("doc_id", "m.*", "quality").toArrow()
     x = np.column_stack([rows[f].to_numpy() for f in FEATURES])
     order = np.lexsort([*x.T, rows["doc_id"].to_numpy()])  # so that fits don't depend on the partitions
     return fit(x[order], rows["quality"].to_numpy()[order].astype(float))

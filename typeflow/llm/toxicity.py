@@ -6,12 +6,17 @@ predictions, so a later link learns from errors as large as it will meet.  Model
 numpy on a bounded sample of labelled rows (``sample``, whole texts each, as sparse word buckets);
 all documents are scored on the executors with the broadcast weights.
 
+A text's features are the distinct buckets of its words.  Texts are split many at a time; scoring
+looks up the distinct words of all of them once, drops those whose buckets weigh nothing in any
+link, and adds up what is left by text.
+
 The tables label two categories, so the chain is low quality, then toxic.
 
-Defined cases: a null or empty text has no words and is scored by the intercepts; a null doc_id
-counts as held out; labels that are null, or of unknown documents, teach nothing; with nothing to
-learn from every score is 0; repeated rows are scored each; an empty table gives no rows; columns
-besides doc_id and text are ignored.
+Defined cases: a null or empty text has no words and is scored by the intercepts; a very long text
+is read whole; a null doc_id counts as held out; a category's null label, or labels of unknown
+documents, teach nothing; of rows that share a sampled doc_id the one whose text has the least hash
+is learned from; with nothing to learn from every score is 0; repeated rows are scored each; an
+empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,21 +24,23 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, portions, table
 from .labelled import labelled_sample
 
 BUCKETS = 1 << 18
 SAMPLE = 6_000
 FOLDS = 3
 STEPS = 150
-#: Features that a link may use.
+#: Features that a link may use: those whose labels differ most from the rest's.
 KEPT = 2_000
 L1 = 3e-4
 THRESHOLD = 0.5
@@ -47,21 +54,39 @@ STEMS = (4, 5, 6)
 
 
 class _Buckets(dict):
-    """The buckets of each word as it is written; starts afresh beyond a bounded number of words."""
+    """The buckets of each word as it is written; starts afresh beyond a bounded number of words.
+
+    With ``weighing`` (a flag by bucket) only buckets that weigh something are listed.
+    """
+
+    def __init__(self, weighing: np.ndarray | None = None):
+        self.weighing = weighing
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
         bare = word.strip(_EDGES) or word[:1]
         parts = [bare, *(f"{n} {bare[:n]}" for n in STEMS if len(bare) > n)]
-        value = self[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+        found = (zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+        value = self[word] = tuple(b for b in found if self.weighing is None or self.weighing[b])
         return value
 
 
-def word_buckets(text: str | None, known: _Buckets) -> np.ndarray:
-    """The distinct buckets of a text's words and of their beginnings, ascending."""
-    words = set((text or "").lower().split())
-    return np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int32))
+def word_buckets(texts: list[str], known: _Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of the distinct buckets of each text's words and of their beginnings, in ascending order."""
+    cut = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+    row = np.repeat(np.arange(len(texts)), np.asarray(pc.fill_null(pc.list_value_length(cut), 0)))
+    coded = cut.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    found = [known[w] if w else () for w in coded.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int64)
+    some = sizes[codes] > 0 if len(codes) else np.zeros(0, dtype=bool)
+    row, codes = row[some], codes[some]
+    n = sizes[codes]
+    place = np.repeat((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    both = np.unique(np.repeat(row, n) * BUCKETS + flat[place])
+    return both // BUCKETS, both % BUCKETS
 
 
 @dataclass(frozen=True)
@@ -124,16 +149,18 @@ def fit_chain(buckets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray)
     links: list[Link] = []
     earlier = np.zeros((len(buckets), 0))
     for k in range(labels.shape[1]):
-        y = labels[:, k].astype(float)
+        labelled, y = ~np.isnan(labels[:, k]), np.nan_to_num(labels[:, k])
+
+        def fitted(train: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            number, inside = np.cumsum(train) - 1, train[rows]
+            return _fit(number[rows[inside]], inverse[inside], len(used), earlier[train], y[train])
+
         out_of_fold = np.zeros(len(y))
         for fold in range(FOLDS):
-            train, test = folds != fold, folds == fold
-            number = np.cumsum(train) - 1
-            inside = train[rows]
-            w, e, b = _fit(number[rows[inside]], inverse[inside], len(used), earlier[train], y[train])
+            w, e, b = fitted(labelled & (folds != fold))
             margin = np.bincount(rows, weights=w[inverse], minlength=len(y)) + earlier @ e + b
-            out_of_fold[test] = margin[test]
-        w, e, b = _fit(rows, inverse, len(used), earlier, y)
+            out_of_fold[folds == fold] = margin[folds == fold]
+        w, e, b = fitted(labelled)
         weights = np.zeros(BUCKETS)
         weights[used] = w
         links.append(Link(weights, e, b))
@@ -141,16 +168,18 @@ def fit_chain(buckets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray)
     return links
 
 
-def score_buckets(buckets: np.ndarray, links: list[Link]) -> list[float]:
-    """The probability of each category, in chain order."""
-    logits: list[float] = []
+def score_texts(texts: list[str], links: list[Link], known: _Buckets) -> np.ndarray:
+    """The probability of each category, texts x categories in chain order; ``known`` lists what weighs in the links."""
+    row, bucket = word_buckets(texts, known)
+    logits = np.zeros((len(texts), 0))
     for link in links:
-        logits.append(float(link.weights[buckets].sum() + link.earlier @ np.clip(logits, -6, 6) + link.intercept))
-    return [float(p) for p in _sigmoid(np.array(logits))]
+        own = np.bincount(row, weights=link.weights[bucket], minlength=len(texts)) + np.clip(logits, -6, 6) @ link.earlier + link.intercept
+        logits = np.column_stack([logits, own])
+    return _sigmoid(logits)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link]:
-    """The chain fitted on about ``sample`` labelled documents that are not held out."""
+    """The chain fitted on about ``sample`` labelled documents that are not held out, one row each."""
     targets: list[Column] = [F.expr(rule).cast("double").alias(name) for name, rule in CHAIN]
     chosen = labelled_sample(labels, ["quality", "toxic"], sample).select("doc_id", F.array(*targets).alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -158,17 +187,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets()
         for batch in batches:
-            found = [word_buckets(t.as_py(), known).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "buckets", "y"])
+            for i in range(batch.num_rows):
+                found = word_buckets([batch.column(1)[i].as_py() or ""], known)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64())), batch.column(2).slice(i, 1)], names=["doc_id", "buckets", "y"])
 
-    # the labels of the sample are bounded by it
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(of, "doc_id long, buckets array<int>, y array<double>").toArrow()
+    # the labels of the sample are bounded by it, and so are the rows once each doc_id has one
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    rows = found.mapInArrow(of, "doc_id long, buckets array<long>, y array<double>").toArrow()
     if not rows.num_rows:
         return []
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")  # so that fits don't depend on the partitions
     doc_ids = rows["doc_id"].to_numpy()[order]
-    buckets = [np.array(rows["buckets"][int(i)].as_py(), dtype=np.int32) for i in order]
-    y = np.array([rows["y"][int(i)].as_py() for i in order])
+    buckets = [np.array(rows["buckets"][int(i)].as_py(), dtype=np.int64) for i in order]
+    y = np.array([rows["y"][int(i)].as_py() for i in order], dtype=float)
     folds = np.array([zlib.crc32(str(d).encode()) // 5 % FOLDS for d in doc_ids])
     return fit_chain(buckets, y, folds)
 
@@ -179,10 +210,14 @@ def score(docs: DataFrame, links: list[Link]) -> DataFrame:
     names = [name for name, _ in CHAIN]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Buckets()
+        links = shared.value
+        known = _Buckets(reduce(np.logical_or, [link.weights != 0 for link in links], np.zeros(BUCKETS, dtype=bool)))
         for batch in batches:
-            got = np.array([score_buckets(word_buckets(t.as_py(), known), shared.value) or [0.0] * len(names) for t in batch.column(1)]).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(got[:, k]) for k in range(len(names))]], names=["doc_id", *names])
+            at = 0
+            for run in portions(t.as_py() or "" for t in batch.column(1)):
+                got = score_texts(run, links, known) if links else np.zeros((len(run), len(names)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), *map(pa.array, got.T)], names=["doc_id", *names])
+                at += len(run)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(of, "doc_id long, " + ", ".join(f"{n} double" for n in names))

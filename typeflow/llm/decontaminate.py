@@ -3,31 +3,39 @@
 Both sides keep the minimum hash of every sliding window of word k-grams.  Two texts that
 share a span of ``k + w - 1`` words share every k-gram hash window in it, hence its minimum,
 so no shared window of WINDOW words can be missed.  Surviving fingerprints of a document are
-extended to the windows of WINDOW words around them, and those are joined by their full words
-with the windows of the items, so the result is exact.  An item with fewer words than WINDOW
-is one window of its own length, for which every k-gram of that length is a fingerprint.
-
-A bitmap of the items' fingerprints, of a fixed 32 KB, thins the documents' fingerprints before
-anything is exploded; it only ever lets too many through.
-
-Defined cases: a null text has no words, so it is clean; an empty text likewise; items without
-words have no window; repeated documents give a row each; a null doc_id is kept; an item_id
-that is null is not listed, though its words count as hit; repeated item rows count once; an
-empty benchmark leaves all clean; columns besides doc_id, item_id and text are ignored.
+extended to the windows around them, and those are joined by their full words with the windows
+of the items, so the result is exact.  An item with fewer words than WINDOW is one window of its
+own length: from GRAM words on it has the same k-grams, below that it is a k-gram itself, so a
+text's words are hashed for at most GRAM sizes whatever the lengths of the items.
+
+A bitmap of the items' fingerprints thins the documents' fingerprints before anything is exploded;
+it only ever lets too many through.  It has BITS_PER_PRINT bits or more for each fingerprint, up to
+16 MB; a benchmark of more than 2^23 fingerprints only makes it less sharp.
+
+Only documents with a candidate window take part in the join, each under a number of its own.
+
+Defined cases: a null text has no words, so it is clean; an empty text likewise; very long texts are
+searched whole, in time that grows with their words; items without words have no window; repeated
+documents give a row each; a null doc_id is kept; an item_id that is null is not listed, though its
+words count as hit; repeated item rows count once; an empty benchmark leaves all clean; columns
+besides doc_id, item_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name, let, settle, table
+from .common import ascii_lower, free_name, if_small, let, settle, table
 
 WINDOW = 10
 #: Words of a k-gram; WINDOW - GRAM + 1 k-gram hashes make one winnowing window.
 GRAM = 5
-#: Longs in the bitmap of fingerprints: 2 ** 12 * 64 bits in 32 KB.
-MAP_LONGS = 1 << 12
+#: Bits of the bitmap for each fingerprint, and the bounds of its longs as powers of two: 32 KB to 16 MB.
+BITS_PER_PRINT = 16
+LEAST_LONGS, MOST_LONGS = 12, 21
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,13 +61,13 @@ def _minima(hashes: Column, w: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _grams(length: int) -> tuple[int, int]:
-    """(k, w) for windows of ``length`` words, with k + w - 1 == length."""
-    return (GRAM, length - GRAM + 1) if length == WINDOW else (length, 1)
+def _gram(length: int) -> int:
+    """Words of the k-grams that windows of ``length`` words are found by."""
+    return min(length, GRAM)
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftright(h, 6).bitwiseAND(F.lit(MAP_LONGS - 1)).cast("int")
+def _slot(h: Column, longs: int) -> Column:
+    return F.shiftright(h, 6).bitwiseAND(F.lit(longs - 1)).cast("int")
 
 
 def _bit(h: Column) -> Column:
@@ -82,81 +90,98 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _bitmap(windows: DataFrame, length: int) -> DataFrame:
-    """One row: the bits of the winnowed fingerprints of all windows of ``length`` words."""
-    k, w = _grams(length)
-    prints = (
-        windows.where(F.col("length") == length)
-        .select(F.explode(_minima(_gram_hashes(F.split("window", " "), k), w)).alias("h"))
-        .groupBy(_slot(F.col("h")).alias("slot"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
-    )
-    slots = prints.sparkSession.range(MAP_LONGS).select(F.col("id").cast("int").alias("slot"))
-    filled = slots.join(prints, "slot", "left").select("slot", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
-    # the slots number MAP_LONGS whatever the benchmark holds
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits"))
+def _prints(windows: DataFrame, gram: int, lengths: list[int]) -> DataFrame:
+    """The distinct winnowed fingerprints of the windows of ``lengths`` words (h)."""
+    found = [
+        windows.where(F.col("length") == n).select(F.explode(_minima(_gram_hashes(F.split("window", " "), gram), n - gram + 1)).alias("h"))
+        for n in lengths
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
 
+def _bitmap(prints: DataFrame, longs: int) -> Column:
+    """The bits of all fingerprints as one array of ``longs`` numbers."""
+    bits = prints.groupBy(_slot(F.col("h"), longs).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
+    slots = prints.sparkSession.range(longs).select(F.col("id").cast("int").alias("slot"))
+    filled = slots.join(bits, "slot", "left").select("slot", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
+    # the slots number ``longs`` whatever the benchmark holds
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits")).scalar()
 
-def _candidates(words: Column, length: int) -> Column:
-    """Structs (at, window) for the document's windows around fingerprints that are in the bitmap."""
-    k, w = _grams(length)
-    known = F.col(f"map_{length}")
+
+def _candidates(words: Column, gram: int, lengths: list[int], known: Column, longs: int) -> Column:
+    """Structs (at, length, window) for the document's windows around winnowed fingerprints that are in the bitmap."""
+    w = min(lengths) - gram + 1  # the least of a longer run of hashes is the least of the shorter runs inside it too
 
     def around(hashes: Column) -> Column:
-        hits = F.array_distinct(F.filter(_minima(hashes, w), lambda h: F.getbit(F.get(known, _slot(h)), _bit(h)) == 1))
-        positions = let(hits, lambda hs: F.when(F.size(hs) > 0, F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda p: F.array_contains(hs, F.get(hashes, p)))).otherwise(F.array().cast("array<int>")))
-        starts = F.array_distinct(F.flatten(F.transform(positions, lambda p: F.sequence(p - (w - 1), p))))
-        inside = F.filter(starts, lambda a: (a >= 0) & (a <= F.size(words) - length))
+        def kept(p: Column) -> Column:
+            h = F.get(hashes, p)
+            in_map = F.getbit(F.get(known, _slot(h, longs)), _bit(h)) == 1
+            if w == 1:
+                return in_map
+            near = [F.least(*[F.coalesce(F.get(hashes, p - j + k), h) for k in range(w)]) == h for j in range(w)]
+            return in_map & reduce(Column.__or__, near)
+
+        return F.when(F.size(hashes) > 0, F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), kept)).otherwise(F.array().cast("array<int>"))
+
+    def windows(positions: Column, n: int) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform(positions, lambda p: F.sequence(p - (n - gram), p))))
+        inside = F.filter(starts, lambda a: (a >= 0) & (a <= F.size(words) - n))
         return F.transform(
-            inside, lambda a: F.struct(a.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice(words, a + 1, F.lit(length)), " ").alias("window"))
+            inside, lambda a: F.struct(a.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice(words, a + 1, F.lit(n)), " ").alias("window"))
         )
 
-    return let(_gram_hashes(words, k), around)
+    return let(let(_gram_hashes(words, gram), around), lambda ps: F.concat(*[windows(ps, n) for n in lengths]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, print (the text's hash) for each row of ``docs``."""
-    windows = settle(item_windows(benchmark))
+def _candidate_rows(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, print, n_words, spans: a row for each row of ``docs`` with its candidate windows."""
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    marked = docs.select("doc_id", "text")
-    for length in lengths:
-        marked = marked.withColumn(f"map_{length}", _bitmap(windows, length).scalar())
+    by_gram = {g: [n for n in lengths if _gram(n) == g] for g in sorted(set(map(_gram, lengths)))}
+    text = F.col("text").cast("string")
+    mapped = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+    longs = {}
+    for gram, ns in by_gram.items():
+        prints = settle(_prints(windows, gram, ns))
+        longs[gram] = 1 << min(MOST_LONGS, max(LEAST_LONGS, (prints.count() * BITS_PER_PRINT // 64).bit_length()))
+        mapped = mapped.withColumn(f"map_{gram}", _bitmap(prints, longs[gram]))
 
     def spans(words: Column) -> Column:
-        # the first struct stands for the document itself, so that clean ones stay in the result
-        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("window")))
-        return F.struct(F.size(words).cast("long").alias("n_words"), F.concat(own, *[_candidates(words, n) for n in lengths]).alias("spans"))
-
-    spread = (
-        marked.select("doc_id", F.xxhash64("text").alias("print"), let(words_of(F.col("text")), spans).alias("s"))
-        .select("doc_id", "print", "s.n_words", F.explode("s.spans").alias("s"))
-        .select("doc_id", "print", "n_words", "s.at", "s.length", "s.window")
-    )
-    joined = spread.join(windows.select("window", "items"), "window", "left").where((F.col("at") < 0) | F.col("items").isNotNull())
-    # rows that repeat a document fall in one group, so their number is kept and given back
-    found = joined.groupBy("doc_id", "print", "n_words").agg(
-        F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).cast("int").alias("copies"),
-        F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "length"))).alias("hits"),
-        F.collect_set("items").alias("items"),
+        found = [_candidates(words, gram, ns, F.col(f"map_{gram}"), longs[gram]) for gram, ns in by_gram.items()]
+        none = F.array().cast("array<struct<at:int,length:int,window:string>>")
+        return F.struct(F.size(words).cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("spans"))
+
+    spread = mapped.select("row", "doc_id", F.xxhash64("text").alias("print"), let(words_of(F.col("text")), spans).alias("s"))
+    return settle(spread.select("row", "doc_id", "print", "s.*"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, print (the text's hash) for each row of ``docs``."""
+    windows = settle(item_windows(benchmark))
+    rows = _candidate_rows(docs, windows)
+    spread = rows.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    found = (
+        spread.join(windows.select("window", "items"), "window")
+        .groupBy("row")
+        .agg(F.collect_set(F.struct("at", "length")).alias("hits"), F.collect_set("items").alias("items"))
     )
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1)))))
     items = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda i: i.cast("string")))
-    return found.select(
-        "doc_id",
-        "print",
-        "n_words",
-        n_hit.cast("long").alias("n_hit"),
-        items.alias("items"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "print")
+    hit = found.select("row", n_hit.cast("long").alias("n_hit"), items.alias("items"))
+    plain = ["row", "doc_id", "print", "n_words"]
+    suspects = rows.where(F.size("spans") > 0).select(plain).join(hit, "row", "left")
+    others = rows.where(F.size("spans") == 0).select(*plain, F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
+    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return suspects.unionByName(others).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "print"
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, with their columns; documents are told apart by doc_id and text."""
     name = free_name(docs, "__hit")
-    hit = contamination(docs, benchmark).where("contaminated").select(F.struct("doc_id", "print").alias(name)).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(docs["text"]) == F.col(f"{name}.print"))
-    return docs.join(hit, same, "left_anti")
+    hit = settle(contamination(docs, benchmark).where("contaminated").select(F.struct("doc_id", "print").alias(name)).distinct())
+    same = docs["doc_id"].eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col(f"{name}.print"))
+    return docs.join(if_small(hit), same, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

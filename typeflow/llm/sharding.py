@@ -14,12 +14,16 @@ are no larger than the quotas that are left, so each round leaves about 1 row in
 no quota holds is split, by ranks, over as few shards as hold it.  A document has one group, so
 the cut can fall no more once no hub waits, and the rounds end.
 
-Work is bounded per task: ranks and votes come from counts per hashed bin, and no group is ever
-gathered.  All of it is joins, aggregates and windows over hashed bins.
-
-Defined cases: a null text has no bytes (size 1, crc of nothing) and no links; a null doc_id
-is placed like any other row; repeated rows are placed each; an empty table gives no rows;
-columns besides doc_id and text are ignored.
+Work is bounded per task: ranks and votes come from counts per hashed bin.  A group of more than
+HOT_ROWS rows, or than 1 / (SHARDS * SLICE_PART) of all, is never shuffled by its key: what is known
+of it is broadcast, at most one row for that many rows.  Rows without links take part in no join.
+All of it is joins, aggregates and windows over hashed bins; a row's bin follows from its doc_id, its
+text and a number of its own, so equal rows spread too.
+
+Defined cases: a null text has no bytes (size 1, crc of nothing) and no links; a very long text
+counts with all its bytes and is hashed before any shuffle; a null doc_id is placed like any other
+row; repeated rows are placed each; an empty table gives no rows; columns besides doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import HOT_ROWS, settle, table
 
 SHARDS = 16
 ROUNDS = 8
@@ -65,6 +69,11 @@ def _ranked(df: DataFrame, key: Column, bins: int, order: list[Column], name: st
     )
 
 
+def _large_rows(rows: int, shards: int) -> int:
+    """A group with more rows than this is large."""
+    return max(1, min(rows // (shards * SLICE_PART), HOT_ROWS))
+
+
 def _by_shard(values: list[int], shard: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("long") for v in values]), shard)
 
@@ -94,9 +103,9 @@ def _deal(hubs: list, left: list[int], last: bool) -> tuple[list[tuple], list[tu
 def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Labels of ``linked`` (doc_id, text_crc32, unit, group, shard, ...) after hubs took theirs; ends when no hub waits."""
     spark, shards, left = linked.sparkSession, len(capacity), list(capacity)
-    slice_rows = max(1, sum(capacity) // (shards * SLICE_PART))
+    slice_rows = _large_rows(sum(capacity), shards)
     large = linked.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
-    large = settle(large.select("group", F.concat(F.lit("g"), F.hex("group")).alias("large")))  # at most 2 * SHARDS * SLICE_PART rows
+    large = settle(large.select("group", F.concat(F.lit("g"), F.hex("group")).alias("large")))  # at most one for slice_rows rows
     votes = F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)])
     tag = F.xxhash64("group")
     columns, done = linked.columns, []
@@ -136,18 +145,24 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.unhex(F.sha2(F.col("text").cast("binary"), 256))).alias("group"),
     )
-    base = settle(base)
+    base = settle(base.withColumn("unit", F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())))
     rows = base.count()
     capacity = [rows // shards + (s < rows % shards) for s in range(shards)]
 
-    sizes = base.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
-    own = F.xxhash64("doc_id", "text_crc32")
-    marked = base.join(sizes, "group", "left").withColumn("unit", own)
+    # groups are counted apart from the joins, so that these can be planned without the groups' own shuffle
+    grouped = base.where(F.col("group").isNotNull())
+    sizes = settle(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    large = F.broadcast(sizes.where(F.col("n") > _large_rows(rows, shards)).select("group"))
+    others = sizes.where(F.col("n") <= _large_rows(rows, shards)).select("group", F.lit(True).alias("linked"))
+    hot = grouped.join(large, "group").withColumn("linked", F.lit(True))
+    cold = grouped.join(large, "group", "left_anti").join(others, "group", "left")
+    alone = base.where(F.col("group").isNull()).withColumn("linked", F.lit(None).cast("boolean"))
     # linked documents start on a hashed shard; free ones have none until they fill the room that is left
+    marked = hot.unionByName(cold).unionByName(alone)
     marked = settle(
-        marked.withColumn("shard", F.when(F.col("group_rows").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
-        .withColumn("group", F.when(F.col("group_rows").isNotNull(), F.col("group")))
-        .drop("group_rows")
+        marked.withColumn("shard", F.when(F.col("linked"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
+        .withColumn("group", F.when(F.col("linked"), F.col("group")))
+        .drop("linked")
     )
     linked = propagate(settle(marked.where(F.col("shard").isNotNull())), capacity, rounds)
 
@@ -163,7 +178,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
 
     columns = ["doc_id", "size", "text_crc32", "group", "unit"]
     pool = settle(marked.where(F.col("shard").isNull()).select(columns).unionByName(placed.where(~fits).select(columns)))
-    pool = pool.withColumn("unit", F.xxhash64("doc_id", "text_crc32"))
     # the pool is ranked in as many parts as shards, so that no bin is larger than elsewhere
     part = F.pmod(F.shiftright("unit", 20), F.lit(shards)).cast("int")
     pool = pool.withColumn("part", part)

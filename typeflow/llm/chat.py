@@ -1,18 +1,24 @@
 """Chat formatting with relational operators.
 
-A conversation's turns are collected as structs and sorted, all in one row; each turn looks up
-its neighbours' roles, so that neighbours of one role share a block, and blocks are concatenated.  A block is
+A conversation's turns are collected as structs and sorted, all in one row.  The places where the
+role changes cut the array into blocks of neighbouring turns of one role; each block's turns are
+merged, and the blocks are concatenated.  A block is
 ``<|im_start|>role\\ntext<|im_sep|>text<|im_end|>\\n``; the separator stands between merged
 turns, so the turns can be read back.  The result is an array of segments, each with a loss flag:
 ``formatted`` is their concatenation and the loss mask covers just the assistants' texts.
 
+Merging is by array functions whose time grows with the turns.  A fold by ``aggregate`` is not used:
+it copies what it has merged so far at every turn.
+
 Inside texts ``<|`` gets a backslash after ``<`` (and ``<\\|`` one more, and so on), so no text
 can hold a control string; roles are escaped by percent signs, which also covers line ends.
 Both are undone on reading.  Spark expressions only.
 
 Defined cases: a null text or role is empty; turns of equal number are in the order of role, then
 text; repeated rows are turns of their own; a null conv_id is a conversation; null turn numbers
-come first; an empty table gives no conversations; other columns are ignored.
+come first; an empty table gives no conversations; other columns are ignored.  Very long texts are
+formatted whole.  All turns of a conversation are one row of one task, so a conversation must fit
+a row (2 GB).
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -42,8 +48,28 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C|"), F.lit("<|")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def _segment(text: Column, loss: Column) -> Column:
-    return F.struct(text.alias("text"), loss.alias("loss"))
+def _blocks(turns: Column) -> Column:
+    """Sorted turns cut into arrays of neighbours of one role."""
+    first = F.filter(
+        F.transform(turns, lambda t, k: F.when(~t["role"].eqNullSafe(F.get(turns, k - 1)["role"]) | (k == 0), k)), lambda k: k.isNotNull()
+    )
+    return let(first, lambda at: F.transform(at, lambda k, i: F.slice(turns, k + 1, F.coalesce(F.get(at, i + 1), F.size(turns)) - k)))
+
+
+def _segment(text: Column, loss: Column | bool = False) -> Column:
+    return F.struct(text.alias("text"), (F.lit(loss) if isinstance(loss, bool) else loss).alias("loss"))
+
+
+def _segments(block: Column) -> Column:
+    """A block's segments: its opening, its texts with separators between them, its end."""
+    role = F.get(block, F.lit(0))["role"]
+    opening = F.array(_segment(F.concat(F.lit(START), escape_role(role), F.lit("\n"))))
+
+    def merged(t: Column, k: Column) -> Column:
+        own = F.array(_segment(escape(t["text"]), t["role"] == TRAINED_ROLE))
+        return F.when(k == 0, own).otherwise(F.concat(F.array(_segment(F.lit(SEPARATOR))), own))
+
+    return F.concat(opening, F.flatten(F.transform(block, merged)), F.array(_segment(F.lit(END + "\n"))))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -51,15 +77,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
     ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    plain = F.lit(False)
-
-    def segments(t: Column, k: Column) -> Column:
-        before, after = F.get("turns", k - 1)["role"], F.get("turns", k + 1)["role"]
-        opening = F.when(before.eqNullSafe(t["role"]), F.lit(SEPARATOR)).otherwise(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")))
-        closing = F.when(after.eqNullSafe(t["role"]), F.lit("")).otherwise(F.lit(END + "\n"))
-        return F.array(_segment(opening, plain), _segment(escape(t["text"]), t["role"] == TRAINED_ROLE), _segment(closing, plain))
-
-    made = ordered.select("conv_id", F.flatten(F.transform("turns", segments)).alias("segments"))
+    made = ordered.select("conv_id", F.flatten(F.transform(_blocks(F.col("turns")), _segments)).alias("segments"))
     return made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 

@@ -7,17 +7,20 @@ Everything is built from Spark expressions.
 
 Defined cases: a null text has no words and fails ``too_few_words``; a null doc_id is kept
 as null; repeated rows give repeated ledger rows; an empty table gives an empty ledger;
-columns besides doc_id and text are ignored, whatever their names.
+columns besides doc_id and text are ignored, whatever their names.  Very long texts are measured
+whole; from 2^24 words on all their windows are compared by words instead of keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, free_name, let, table
+from .common import SPACE_CLASS, let, table
 
 #: A window's key holds its position in this many low bits, below a piece of its hash.
 POSITION_BITS = 24
@@ -28,18 +31,18 @@ class Rule:
     """A named condition over the measurements; its place in RULES is its bit."""
 
     name: str
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("too_few_words", "n_words < 50"),
-    Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    Rule("too_many_words", "n_words > 1000000"),
-    Rule("short_words", "word_chars < 2 * n_words"),
-    Rule("long_words", "word_chars > 20 * n_words"),
-    Rule("symbols", "100 * n_symbols > 25 * n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
-    Rule("shouting", "100 * n_upper > 60 * word_chars"),
+    Rule("too_few_words", lambda m: m["n_words"] < 50),
+    Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    Rule("too_many_words", lambda m: m["n_words"] > 1_000_000),
+    Rule("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    Rule("long_words", lambda m: m["word_chars"] > 20 * m["n_words"]),
+    Rule("symbols", lambda m: 100 * m["n_symbols"] > 25 * m["n_words"]),
+    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    Rule("shouting", lambda m: 100 * m["n_upper"] > 60 * m["word_chars"]),
 )
 BIT = {rule.name: 1 << k for k, rule in enumerate(RULES)}
 
@@ -53,8 +56,11 @@ BASE = mask_of("too_few_words", "repeated_windows")
 POLICIES: dict[str, int] = {
     "base-1": BASE,
     "full-1": BASE | mask_of("too_many_words", "short_words", "long_words", "symbols", "duplicate_lines", "shouting"),
+    "full-2": BASE | mask_of("short_words", "long_words", "symbols", "duplicate_lines", "shouting"),
 }
 CURRENT = "full-1"
+#: The pipeline's policy: a clean text is never rejected for its length alone.
+PIPELINE = "full-2"
 
 
 def words_of(text: Column) -> Column:
@@ -127,24 +133,30 @@ def measurements(text: Column) -> Column:
     return let(words_of(text), lambda w: let(lines, lambda ls: of(w, ls)))
 
 
+def measured(text: Column) -> Column:
+    """The measurements and ``failed_bits`` as one struct; the measurements are made once."""
+
+    def bits(m: Column) -> Column:
+        failed = [F.when(rule.fails(m), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long") for rule in RULES]
+        return reduce(Column.bitwiseOR, failed)
+
+    return let(measurements(text), lambda m: m.withField("failed_bits", bits(m)))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``failed_bits``, one row for each row of ``docs``."""
-    measured = docs.select("doc_id", measurements(F.col("text")).alias("m")).select("doc_id", "m.*")
-    bits = F.lit(0).cast("long")
-    for rule in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("failed_bits", bits)
+    return docs.select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+def _passes(failed_bits: Column, version: str) -> Column:
+    """A policy's verdict; base failures never pass."""
+    return failed_bits.bitwiseAND(F.lit(BASE | POLICIES[version])) == 0
 
 
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """A ledger with ``base_failed`` and the policy's verdict ``kept``; base failures are never kept."""
     failed = F.col("failed_bits")
-    return rows.withColumns(
-        {
-            "base_failed": failed.bitwiseAND(F.lit(BASE)) != 0,
-            "kept": failed.bitwiseAND(F.lit(BASE | POLICIES[version])) == 0,
-        }
-    )
+    return rows.withColumns({"base_failed": failed.bitwiseAND(F.lit(BASE)) != 0, "kept": _passes(failed, version)})
 
 
 def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -167,17 +179,8 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their columns."""
-    m, kept = free_name(docs, "__m"), free_name(docs, "__keep")
-    measured = docs.withColumn(m, measurements(F.col("text")))
-    passes = F.lit(True)
-    for rule in RULES:
-        if BIT[rule.name] & (BASE | POLICIES[version]):
-            condition = rule.fails
-            for name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"):
-                condition = condition.replace(name, f"{m}.{name}")
-            passes = passes & ~F.expr(condition)
-    return measured.withColumn(kept, passes).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose ledger entry the policy passes, with their columns."""
+    return docs.where(_passes(measured(F.col("text"))["failed_bits"], version))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ more than there are dropped bits, so links grow with the fingerprints, not with
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any
 other; equal texts share a fingerprint and so a component; a null doc_id belongs to its
-component but never names it while another id does; repeated rows stay; an empty table gives no
-rows; columns besides doc_id and text are ignored.
+component but never names it while another id does; a very long text is hashed whole, in blocks of
+bounded memory; repeated rows stay; an empty table gives no rows; columns besides doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import free_name, settle, table
+from .common import free_name, hot_join, if_small, settle, table
 from .components import connected_components
 
 RADIUS = 2
@@ -101,30 +102,34 @@ def links(values: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, print, fp, root (a component's least fp), component_id (the least doc_id reachable) for each row of ``docs``."""
     prints = settle(fingerprints(docs))
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = connected_components(links(values.select("fp")))
-    rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "print", "fp", "root", "component_id")
+    named = settle(rooted.join(ids, "root").select("fp", "root", "component_id", "n"))
+    return hot_join(prints, named, "fp").select("doc_id", "print", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component of ``docs``, with its columns: the one whose doc_id names it.
 
     Rows are told apart by doc_id and text.  Where several of a component have its least doc_id, or
-    all have none, the one with the least hash of its text stays; of equal rows one stays.
+    all have none, the one with the least hash of its text stays; of equal rows one stays.  Texts are
+    read again only to leave out the other rows.
     """
-    found = near_duplicates(docs).groupBy("root", "doc_id", "print").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print", "n"))
-    name = free_name(docs, "__leader")
-    leaders = found.groupBy("root").agg(least.alias(name)).select(name)
+    found = settle(near_duplicates(docs).groupBy("root", "doc_id", "print").agg(F.count("*").alias("copies")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")).alias("leader")
+    leaders = found.groupBy("root").agg(least, F.count("*").alias("n"), F.max("copies").alias("most")).where("n > 1 OR most > 1").drop("most")
+    leads = F.col("doc_id").eqNullSafe(F.col("leader.doc_id")) & (F.col("print") == F.col("leader.print"))
+    name = free_name(docs, "__row")
+    row = F.struct("doc_id", "print").alias(name)
+    # what leaves: rows that don't lead, and leading rows that occur more than once, of which one comes back
+    marked = hot_join(found, settle(leaders), "root").where(~leads | (F.col("copies") > 1)).select(row, leads.alias("leads"))
+    gone = settle(marked)
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col(f"{name}.print"))
-    kept = docs.join(leaders, same)
-    # only rows that occur more than once need to be thinned out
-    single, many = kept.where(F.col(f"{name}.n") == 1), kept.where(F.col(f"{name}.n") > 1).dropDuplicates(["doc_id", "text"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.select(columns).unionByName(many.select(columns))
+    once = docs.join(if_small(gone.select(name)), same, "left_anti")
+    again = docs.join(if_small(settle(gone.where("leads").select(name))), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

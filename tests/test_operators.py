@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from typeflow.operators import assets, execute, volumes
-from typeflow.operators.command import Command, Param, bind_defaults, matches
+from typeflow.operators.command import Command, Output, Param, bind_defaults, matches
+from typeflow.operators.proxified import ProxyCommand
 from typeflow.plans import visualizers
+from typeflow.plans.defaults import default_registry
+from typeflow.plans.planner import Context
 from typeflow.sources import metadata
 from typeflow.streaming import ledger
 
@@ -60,15 +63,70 @@ def test_ledger(spark):
     assert [r.running for r in assets.running_counts(df, "path", F.col("delta"), ["seq"]).orderBy("seq").collect()] == [1, 1, 2, 1, 2, 0]
 
 
+def test_removals_of_untracked_paths(spark):
+    """Against a counter that refuses to go below nothing."""
+    import random
+
+    random.seed(4)
+    events = [(k, f"p{random.randrange(4)}", random.choice([1, -1, -1, 0])) for k in range(300)]
+    count, bad = {}, []
+    for seq, path, delta in events:
+        if delta < 0 and count.get(path, 0) == 0:
+            bad.append(seq)
+        else:
+            count[path] = count.get(path, 0) + delta
+    df = spark.createDataFrame(events, "seq int, path string, delta int").repartition(3)
+    assert sorted(r.seq for r in assets.underflows(df, "path", F.col("delta"), ["seq"]).collect()) == bad
+
+
+def test_running_counts_by_bins(spark):
+    df = spark.range(500).selectExpr("id AS seq", "IF(id % 3 = 0, NULL, id % 2) AS path", "id % 5 - 2 AS delta").repartition(3)
+    whole = assets.running_counts(df, "path", F.col("delta"), ["seq"])
+    binned = assets.running_counts(df, "path", F.col("delta"), ["seq"], F.when(F.col("seq") > 40, F.floor(F.col("seq") / 40)))
+    assert binned.columns == whole.columns and sorted(map(str, binned.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_typed_assets(spark):
+    rows = [("/a/p", None, None, True), ("/a/q", "", "", False)]
+    df = spark.createDataFrame(rows, "path string, ext string, type string, managed boolean").select(F.struct("*").alias("a"))
+    kind = assets.AssetType("PosFile", ".pos")
+    got = [tuple(r.t) for r in df.select(assets.typed(F.col("a"), kind).alias("t")).collect()]
+    assert got == [("/a/p.pos", ".pos", "PosFile", True), ("/a/q.pos", ".pos", "PosFile", False)]
+    with pytest.raises(Exception, match="has a type already"):
+        df.select(assets.typed(assets.typed(F.col("a"), kind), assets.AssetType("Other", ".oth"))).collect()
+    for bad in (("Pos File", ".pos"), ("PosFile", "pos")):
+        with pytest.raises(ValueError):
+            assets.AssetType(*bad)
+
+
+def test_proxified_command(spark):
+    registry = default_registry()
+    registry.declare("MyVolume", "proxy", suffix=".custom")
+    params = [Param("bar", "keyword"), Param("outputs", default=Output("MyVolume", ".custom"), label="o"), Param("n", "keyword", default=3), Param("fast", "flag", default=False)]
+    program = ProxyCommand(Command("foo", params), {"outputs": "MyVolume"})
+    df = spark.createDataFrame([(7, "x", "/mine.custom"), (8, None, "/other.custom")], "k long, bar string, own string")
+    run = lambda **given: program.apply(df, "k", given, Context(registry), "/tmp/out").orderBy("k").collect()
+    made = run(bar=(F.col("bar"), "str"), fast=(F.lit(True), "bool"))
+    assert [r.argv for r in made] == [["foo", "--bar", "x", "-o", "/tmp/out/outputs-7.custom", "--n", "3", "--fast"], ["foo", "-o", "/tmp/out/outputs-8.custom", "--n", "3", "--fast"]]
+    assert [tuple(r.outputs) for r in made] == [(f"/tmp/out/outputs-{k}.custom", "MyVolume", True) for k in (7, 8)]
+    given = run(bar=(F.lit(42.0), "float"), outputs=(F.col("own"), "path"))
+    assert [tuple(r.outputs) for r in given] == [("/mine.custom", "MyVolume", False), ("/other.custom", "MyVolume", False)]
+    assert given[0].argv == ["foo", "--bar", "42.0", "-o", "/mine.custom", "--n", "3"] and program.outputs() == ["outputs"]
+    with pytest.raises(Exception, match="expected a .custom file"):
+        run(bar=(F.lit("x"), "str"), outputs=(F.lit("/wrong.txt"), "path"))
+    with pytest.raises(ValueError, match="missing argument: bar"):
+        run()
+
+
 def test_streaming_ledger(spark, sf_dir, tmp_path):
     stored = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type")
     stored.write.parquet(str(tmp_path / "events"))
     delta = F.when(F.col("event_type") == "error", -1).otherwise(1)
     stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "events"))
-    query = ledger.start(ledger.running_references(stream, "user_id", delta), "ledger_test", str(tmp_path / "state"))
+    query = ledger.start(ledger.running_references(stream, "user_id", delta), str(tmp_path / "counts"), str(tmp_path / "state"))
     query.awaitTermination()
     want = assets.reference_counts(stored, "user_id", delta)
-    assert sorted(map(tuple, spark.table("ledger_test").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "counts")).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_assets_and_volumes(spark):

@@ -36,6 +36,11 @@ def param_struct(text: Column, dtype: str, managed: Column | bool = False) -> Co
     return F.struct(text.cast("string").alias("str_rep"), F.lit(dtype).alias("dtype"), managed.alias("managed"))
 
 
+def asset(path: Column, type_name: str, suffix: str, managed: bool) -> Column:
+    """A file asset: its path, suffix and type, and whether its file is managed."""
+    return F.struct(path.alias("path"), F.lit(suffix).alias("ext"), F.lit(type_name).alias("type"), F.lit(managed).alias("managed"))
+
+
 def suffix_of(path: Column) -> Column:
     """The last suffix of a path, with its point; empty if there is none."""
     return F.regexp_extract(path, SUFFIX, 1)

@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.convert import suffix_of
+from ..functions.convert import asset, suffix_of
+
+
+@dataclass(frozen=True)
+class AssetType:
+    """A named kind of file."""
+
+    name: str
+    suffix: str
+
+    def __post_init__(self):
+        if not self.name.isidentifier():
+            raise ValueError(f"{self.name!r} is no identifier")
+        if not self.suffix.startswith("."):
+            raise ValueError(f"the suffix {self.suffix!r} must start with a point")
+
 
+def untyped(asset: Column) -> Column:
+    """True for an asset that has no type yet."""
+    return F.coalesce(asset["ext"], F.lit("")) == ""
 
-def asset(path: Column, type_name: str, suffix: str, managed: bool) -> Column:
-    """An asset struct; its path ends in the type's suffix."""
-    return F.struct(path.alias("path"), F.lit(suffix).alias("ext"), F.lit(type_name).alias("type"), F.lit(managed).alias("managed"))
+
+def typed(asset: Column, kind: AssetType) -> Column:
+    """An asset without a type as one of ``kind``: the suffix is appended; one that has a type is an error.
+
+    Its content is whatever lies at the new path: copying is up to whoever runs the commands.
+    """
+    new = F.struct(
+        F.concat(asset["path"], F.lit(kind.suffix)).alias("path"), F.lit(kind.suffix).alias("ext"), F.lit(kind.name).alias("type"), asset["managed"].alias("managed")
+    )
+    message = F.concat(F.lit("asset has a type already: "), F.coalesce(asset["type"], F.lit("")), F.lit(" "), asset["path"])
+    return F.when(untyped(asset), new).otherwise(F.raise_error(message))
 
 
 def retype(base: Column, suffix: str) -> Column:
@@ -39,10 +67,34 @@ def reference_counts(ledger: DataFrame, path: str, delta: Column) -> DataFrame:
     return ledger.groupBy(path).agg(F.sum(delta).cast("long").alias("refs"))
 
 
-def running_counts(ledger: DataFrame, path: str, delta: Column, order: list[str]) -> DataFrame:
-    """The ledger with the count after each event."""
-    sofar = Window.partitionBy(path).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ledger.withColumn("running", F.sum(delta).over(sofar).cast("long"))
+def running_counts(ledger: DataFrame, path: str, delta: Column, order: list[str], bin: Column | None = None) -> DataFrame:
+    """The ledger with the count after each event.
+
+    ``bin`` grows with ``order`` (an hour of a time, say).  With it the counts of whole bins are summed
+    first and events are ordered inside their bin only, so a path with very many events is no single task.
+    """
+    if bin is None:
+        sofar = Window.partitionBy(path).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return ledger.withColumn("running", F.sum(delta).over(sofar).cast("long"))
+    events = ledger.withColumns({"__bin": bin, "__delta": delta})
+    before = Window.partitionBy(path).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy(path, "__bin").agg(F.sum("__delta").alias("__sum"))
+    sums = sums.select(F.col(path).alias("__path"), F.col("__bin").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(path, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.withColumn("__sofar", F.sum("__delta").over(inside))
+    same = F.col(path).eqNullSafe(F.col("__path")) & F.col("__bin").eqNullSafe(F.col("__of"))
+    return summed.join(sums, same).withColumn("running", (F.col("__before") + F.col("__sofar")).cast("long")).select(*ledger.columns, "running")
+
+
+def underflows(ledger: DataFrame, path: str, delta: Column, order: list[str]) -> DataFrame:
+    """The events that take a reference from a path that has none: such a removal is an error and changes nothing.
+
+    Deltas are +1, -1 or 0.  With removals that fail left out, the count is the plain sum less its least value
+    so far; so they are the events at which the plain sum falls below all its values before.
+    """
+    counted = running_counts(ledger, path, delta, order)
+    earlier = Window.partitionBy(path).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("__least", F.least(F.coalesce(F.min("running").over(earlier), F.lit(0)), F.lit(0))).where("running < __least").select(*ledger.columns)
 
 
 def collectable(counts: DataFrame) -> DataFrame:

@@ -18,6 +18,14 @@ from ..functions.convert import to_string
 REQUIRED = object()
 
 
+@dataclass(frozen=True)
+class Output:
+    """A default that asks for a new managed file of a type."""
+
+    type_name: str
+    suffix: str
+
+
 @dataclass(frozen=True)
 class Param:
     """A parameter: ``kind`` is 'positional', 'keyword' or 'flag'."""
@@ -46,9 +54,9 @@ def bind_defaults(params: list[Param], given: Mapping[str, Column]) -> dict[str,
         raise ValueError(f"unknown arguments: {sorted(unknown)}")
     bound = {}
     for p in params:
-        if p.name not in given and p.default is REQUIRED:
+        if p.name not in given and (p.default is REQUIRED or isinstance(p.default, Output)):
             raise ValueError(f"missing argument: {p.name}")
-        default = None if p.default is REQUIRED else F.lit(p.default)
+        default = None if p.default is REQUIRED or isinstance(p.default, Output) else F.lit(p.default)
         value = given.get(p.name)
         bound[p.name] = default if value is None else value if default is None else F.coalesce(value, default)
     return bound
@@ -66,7 +74,7 @@ def flag(label: str, value: Column) -> Column:
 
 
 def labelled(label: str, value: Column) -> Column:
-    """A label and its value's tokens; an array value gives many, a null value none at all."""
+    """A label and its value's text as tokens; an array is one token by its text form, a null value gives none at all."""
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit(label), to_string(value)))
 
 
@@ -99,8 +107,8 @@ class Command:
         checks = [F.when(~F.coalesce(matches(bound[p.name], p.pattern), F.lit(True)), F.lit(p.name)) for p in self.params if p.pattern]
         return drop_nulls(F.array(*checks)) if checks else F.array().cast("array<string>")
 
-    def argv(self, given: Mapping[str, Column], strict: bool = True) -> Column:
-        """The tokens to run; with ``strict`` a row with an invalid argument is an error."""
+    def arguments(self, given: Mapping[str, Column]) -> Column:
+        """The tokens of all arguments, after ``postprocess``."""
         bound = bind_defaults(self.params, given)
         pairs = []
         for p in self.params:
@@ -109,7 +117,11 @@ class Command:
         groups = F.filter(F.array(*pairs), lambda g: F.size(g) > 0)
         if self.postprocess is not None:
             groups = self.postprocess(groups)
-        tokens = F.concat(F.array(*[F.lit(t) for t in (*self.launcher, self.program)]), F.flatten(groups))
+        return F.flatten(groups)
+
+    def argv(self, given: Mapping[str, Column], strict: bool = True) -> Column:
+        """The tokens to run; with ``strict`` a row with an invalid argument is an error."""
+        tokens = F.concat(F.array(*[F.lit(t) for t in (*self.launcher, self.program)]), self.arguments(given))
         if not strict or not any(p.pattern for p in self.params):
             return tokens
         bad = self.invalid(given)
@@ -121,8 +133,6 @@ class Command:
         return F.array_join(self.argv(given, strict), " ")
 
 
-
-
 def bound_programs(launcher: tuple[str, ...] = (), prefix: str = "") -> dict[str, Command]:
     """The commands of the three bound programs; where they are installed decides launcher and prefix."""
     volume = r".+\.vol"

@@ -1,38 +1,67 @@
 """Set-based operators on conversion graphs held as rows.
 
-They work on graphs of any size with joins, aggregates and windows; the driver's planner covers
+They work on graphs of any size with joins and aggregates; the driver's planner covers
 the small graphs of a program's own types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.linear import linear_order
 from .storage import checkpointed
 
 
+def _first(df: DataFrame, key: list[str], order: Column, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by an aggregate, which needs no task to hold a key's rows."""
+    rest = [c for c in df.columns if c not in key]
+    pick = F.max_by if last else F.min_by
+    found = df.groupBy(*key).agg(pick(F.struct(*rest), order).alias("__row"))
+    return found.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns])
+
+
 def dedupe_edges(edges: DataFrame, key: list[str], order: list[str], scope: str | None = None) -> DataFrame:
     """One edge for each key: the first in ``order``.
 
     With ``scope`` the first of each key and scope survives, and of those the last one wins.
     """
-    first = lambda df, keys, by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("__n = 1").drop("__n")
-    kept = first(edges, key + ([scope] if scope else []), [F.col(c) for c in order])
-    return first(kept, key, [F.col(c).desc() for c in order]) if scope else kept
-
-
-def ancestors_closure(parents: DataFrame, levels: int = 100) -> DataFrame:
-    """(sub, sup, weight): every ancestor of every type with its least distance, from (sub, sup) parent rows."""
-    reached = checkpointed(parents.select("sub", "sup").distinct().withColumn("weight", F.lit(1)))
-    frontier = reached
-    step = parents.select(F.col("sub").alias("__via"), F.col("sup").alias("__up"))
-    for weight in range(2, levels + 1):
-        following = frontier.join(step, F.col("sup") == F.col("__via")).select("sub", F.col("__up").alias("sup")).distinct()
-        frontier = checkpointed(following.join(reached, ["sub", "sup"], "left_anti").withColumn("weight", F.lit(weight)))
-        if frontier.isEmpty():
-            return reached
-        reached = checkpointed(reached.unionByName(frontier))
+    kept = _first(edges, key + ([scope] if scope else []), F.struct(*order))
+    return _first(kept, key, F.struct(*order), last=True) if scope else kept
+
+
+def ancestors_closure(parents: DataFrame, position: str | None = None, levels: int = 100) -> DataFrame:
+    """(sub, sup, weight): every ancestor of every type with its place in the type's linear order.
+
+    ``parents`` has (sub, sup) rows and, where a type has several parents, their ``position``.  Types are
+    ordered level by level, each once all its parents are: one parent's order is taken over whole,
+    several are merged.  A type without parents is a root.
+    """
+    place = F.col(position) if position else F.lit(0)
+    own = parents.groupBy("sub").agg(F.array_sort(F.collect_set(F.struct(place.alias("at"), F.col("sup")))).alias("ps"))
+    waiting = checkpointed(own.select("sub", F.transform("ps", lambda p: p["sup"]).alias("ps")))
+    roots = parents.select(F.col("sup").alias("sub")).distinct().join(waiting, "sub", "left_anti")
+    done = checkpointed(roots.select("sub", F.array("sub").alias("line")))
+    merged = F.pandas_udf(lambda lines, parents: pd.Series([linear_order([*x, p]) for x, p in zip(lines, parents)]), "array<string>")
+    several = not waiting.where(F.size("ps") > 1).isEmpty()
+    last = done
+    for _ in range(levels):
+        # a type is ready once all its parents have a line; it then has one that is new
+        line_of = lambda df: df.select(F.col("sub").alias("__p"), "line")
+        one = waiting.where(F.size("ps") == 1).withColumn("__p", F.col("ps")[0]).join(line_of(last), "__p")
+        one = one.select("sub", F.concat(F.array("sub"), "line").alias("line"))
+        ready = one
+        if several:
+            each = waiting.where(F.size("ps") > 1).select("sub", "ps", F.posexplode("ps").alias("at", "__p")).join(line_of(done), "__p")
+            full = each.groupBy("sub").agg(F.first("ps").alias("ps"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines")).where(F.size("lines") == F.size("ps"))
+            whole = full.select("sub", merged(F.transform("lines", lambda x: x["line"]), "ps").alias("line"))
+            ready = one.unionByName(whole.select("sub", F.concat(F.array("sub"), "line").alias("line")))
+        last = checkpointed(ready.join(done, "sub", "left_anti"))
+        if last.isEmpty():
+            lined = done.select("sub", F.posexplode("line").alias("weight", "sup"))
+            return lined.where("weight > 0").select("sub", "sup", "weight")
+        done = checkpointed(done.unionByName(last))
     raise ValueError(f"types have ancestors more than {levels} levels up")
 
 
@@ -63,13 +92,13 @@ def lift_scope(scope: Column, origin: str, ancestor: str) -> Column:
 
 def rank_candidates(edges: DataFrame, key: list[str], cost: Column, foreign: Column, depth: Column, order: list[str]) -> DataFrame:
     """The best edge of each key: least cost, local before foreign, deeper scope first, then ``order``."""
-    by = Window.partitionBy(*key).orderBy(cost, foreign, depth.desc(), *order)
-    return edges.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+    return _first(edges, key, F.struct(cost.alias("cost"), foreign.alias("foreign"), (-depth).alias("depth"), *order))
 
 
 def nearest_ancestor(ancestry: DataFrame, nodes: DataFrame, key: str, ancestor: str, depth: str) -> DataFrame:
-    """For each key its nearest ancestor that is a node of the graph."""
-    return ancestry.join(nodes, ancestor, "left_semi").groupBy(key).agg(F.min_by(ancestor, depth).alias(ancestor))
+    """For each key its nearest ancestor that is a node of the graph; of equally near ones the least."""
+    found = ancestry.join(nodes, ancestor, "left_semi").groupBy(key)
+    return found.agg(F.min(F.struct(depth, ancestor)).alias("__near")).select(key, F.col(f"__near.{ancestor}").alias(ancestor))
 
 
 def shortest_paths(edges: DataFrame, source: Column, rounds: int = 1000) -> DataFrame:
@@ -103,5 +132,6 @@ def paths_via(edges: DataFrame, source: Column, waypoint: Column) -> DataFrame:
     """(node, cost, path) by the best way to ``waypoint`` and on from there; a node may be passed twice."""
     to = shortest_paths(edges, source).where(F.col("node") == waypoint).select(F.col("cost").alias("c0"), F.col("path").alias("p0"), F.col("node").alias("at"))
     on = shortest_paths(edges, waypoint).withColumn("at", waypoint)
-    tail = F.array_join(F.slice(F.split("path", ">"), F.lit(2), F.greatest(F.size(F.split("path", ">")) - 1, F.lit(0))), ">")
-    return on.join(F.broadcast(to), "at").select("node", (F.col("c0") + F.col("cost")).alias("cost"), F.concat_ws(">", "p0", F.nullif(tail, F.lit(""))).alias("path"))  # one row
+    # a path begins with the waypoint's own text, whatever that holds
+    tail = F.expr("substr(path, length(cast(at AS string)) + 1)")
+    return on.join(F.broadcast(to), "at").select("node", (F.col("c0") + F.col("cost")).alias("cost"), F.concat("p0", tail).alias("path"))  # one row

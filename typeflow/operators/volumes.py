@@ -51,6 +51,13 @@ def sphere(spark: SparkSession, size: int, radius: float) -> DataFrame:
     return grid.withColumn("inside", inside_sphere(F.col("z"), F.col("y"), F.col("x"), (c, c, c), radius))
 
 
+def sphere_values(data: Column, shape: tuple[int, int, int], centre: tuple[float, float, float], radius: float) -> Column:
+    """The values of a flat volume inside a sphere, in the row itself: a voxel's place follows from its index."""
+    _, ny, nx = shape
+    at = lambda i, step, n: F.floor(i / step) % n if n else F.floor(i / step)
+    return F.filter(data, lambda v, i: inside_sphere(at(i, ny * nx, 0), at(i, nx, ny), at(i, 1, nx), centre, radius))
+
+
 def inside_sphere(z: Column, y: Column, x: Column, centre: tuple[float, float, float], radius: float) -> Column:
     squares = [(axis - F.lit(c)) * (axis - F.lit(c)) for axis, c in zip((z, y, x), centre)]
     return squares[0] + squares[1] + squares[2] <= F.lit(radius * radius)

@@ -11,7 +11,7 @@ import functools
 import heapq
 import inspect
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 
@@ -71,6 +71,8 @@ class Context:
     registry: Registry
     seen: frozenset[str] = frozenset({CORE})
     caller: str = ""
+    #: The type of the elements of the tuple that is being resolved.
+    element: str = "float"
     _memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     def inside(self, scope: str) -> Context:
@@ -90,11 +92,19 @@ class Context:
             self._memo[key] = shortest_path(edges, start, target, via, self.caller)
         return self._memo[key]
 
-    def resolve(self, value: Column, origin: str, target: str, via: str | None = None) -> Column:
-        """``value`` converted by the planned steps, as one expression."""
-        for step in self.plan(origin, target, via):
-            value = step.build(value, self) if step.nested else step.build(value)
-        return value
+    def resolve(self, value: Column | list, origin: str, target: str, via: str | None = None) -> Column:
+        """``value`` converted by the planned steps, as one expression; its Spark type is checked at both ends.
+
+        A tuple is an array, whose elements' type may be named (``tuple[bool]``), or a list of (Column, type).
+        """
+        origin, _, element = origin.partition("[")
+        inner = replace(self, element=element.removesuffix("]")) if element else self
+        steps = self.plan(origin, target, via)
+        if isinstance(value, Column):
+            value = self.registry.checked(value, origin, "value")
+        for step in steps:
+            value = step.build(value, inner) if step.nested else step.build(value)
+        return self.registry.checked(value, target, "result") if steps else value
 
     def describe(self, origin: str, target: str, via: str | None = None) -> str:
         """The planned steps as text."""

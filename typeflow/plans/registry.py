@@ -3,7 +3,7 @@
 A converter is a builder from Column to Column, so a planned chain compiles to one expression.
 Edges are keyed by origin, target and scope: two scopes may each have a converter for a pair,
 and the planner ranks them.  Types may declare parents; registering a converter adds identity
-edges from its types to all their ancestors, weighted by distance.
+edges from its types to all their ancestors, weighted by their place in the type's linear order.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import convert
+from ..functions.linear import linear_order
 from . import scopes
 
 Build = Callable[[Column], Column]
@@ -46,32 +49,46 @@ class Registry:
     def __init__(self):
         self._parents: dict[str, tuple[str, ...]] = {}
         self._edges: dict[tuple[str, str, str], Edge] = {}
+        self._stored: dict[str, str] = {}
         self.version = 0
 
-    def declare(self, name: str, *parents: str, suffix: str | None = None) -> str:
-        """A type with its direct parents; one with ``suffix`` also gets a checked converter from ``path``."""
+    def declare(self, name: str, *parents: str, suffix: str | None = None, stored: str | None = None) -> str:
+        """A type with its direct parents.
+
+        One with ``suffix`` also gets a checked converter from ``path``; if it is a proxy, that makes an
+        asset and another one makes its parameter.  ``stored`` is a pattern of the Spark types that hold it.
+        """
         for p in parents:
             self._parents.setdefault(p, ())
         self._parents[name] = parents
-        if suffix is not None:
-            from ..functions.convert import checked_path
-
-            self.add("path", name, lambda value: checked_path(value, suffix), scope=CORE)
+        if stored is not None:
+            self._stored[name] = stored
         self.version += 1
+        if suffix is not None and "proxy" in self.ancestors(name):
+            self.add("path", name, lambda value: convert.asset(convert.checked_path(value, suffix), name, suffix, False), scope=CORE)
+            self.add(name, "param", lambda value: convert.param_struct(value["path"], name, F.coalesce(value["managed"], F.lit(False))), scope=CORE)
+        elif suffix is not None:
+            self.add("path", name, lambda value: convert.checked_path(value, suffix), scope=CORE)
         return name
 
+    def checked(self, value: Column, name: str, what: str) -> Column:
+        """``value``, or an error if its Spark type is none that holds ``name``.
+
+        The type is known when a query is analysed, so a check that holds folds away.
+        """
+        pattern = next((self._stored[t] for t in self.ancestors(name) if t in self._stored), None)
+        if pattern is None:
+            return value
+        kind = F.typeof(value)
+        message = F.concat(F.lit(f"{what}: {name} expected, not "), kind)
+        return F.when(kind.rlike(rf"\A(?:{pattern})\z"), value).otherwise(F.raise_error(message))
+
     def ancestors(self, name: str) -> list[str]:
-        """The type and its ancestors, nearest first, each once; every type ends in ``object``."""
-        order, level, seen = [], [name], set()
-        while level:
-            following: list[str] = []
-            for t in level:
-                if t not in seen and t != "object":
-                    seen.add(t)
-                    order.append(t)
-                    following += self._parents.get(t, ())
-            level = following
-        return [*order, "object"]
+        """The type and its ancestors in linear order, each once; every type ends in ``object``."""
+        if name == "object":
+            return ["object"]
+        parents = [p for p in self._parents.get(name, ()) if p != "object"]
+        return [name, *linear_order([*(self.ancestors(p) for p in parents), parents, ["object"]])]
 
     def add(self, src: str, dst: str, build: Build, scope: str, nested: bool = False) -> None:
         """One converter.  In a scope the first converter of a pair stays, and another one is warned of."""

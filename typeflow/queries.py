@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gzip as _gzip
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import convert
 from .operators import assets, command, execute, graph, volumes
-from .plans.defaults import default_registry
+from .operators.proxified import ProxyCommand
+from .plans.defaults import default_registry, join
 from .plans.planner import Context
 from .sources import metadata
 
@@ -69,13 +71,16 @@ def render_bound_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT p_partkey, regexp_full_match(p_brand, 'Brand#[0-4]') AS ok FROM part")
 def validate_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select("p_partkey", command.matches(F.col("p_brand"), "Brand#[0-4]").alias("ok"))
+    spec = command.Command("check", [command.Param("brand", pattern="Brand#[0-4]")])
+    return _t(spark, sf_dir, "part").select("p_partkey", (F.size(spec.invalid({"brand": F.col("p_brand")})) == 0).alias("ok"))
 
 
 @_query("SELECT p_partkey, list_concat((['-i', p_name, p_brand])[2:3], (['-i', p_name, p_brand])[1:1]) AS a FROM part")
 def postprocess_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = F.array(F.lit("-i"), F.col("p_name"), F.col("p_brand"))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.slice(groups, 2, 2), F.slice(groups, 1, 1)).alias("a"))
+    """All values, then the first argument's label: an order that only the program's own rule gives."""
+    values_first = lambda groups: F.array(F.transform(groups, lambda g: g[1]), F.array(groups[0][0]))
+    spec = command.Command("program", [command.Param("name", label="i"), command.Param("brand")], postprocess=values_first)
+    return _t(spark, sf_dir, "part").select("p_partkey", spec.arguments({"name": F.col("p_name"), "brand": F.col("p_brand")}).alias("a"))
 
 
 @_query("SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN labels USING (doc_id)")
@@ -108,7 +113,7 @@ def drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def exec_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's command compares its nation with itself by a harmless program."""
+    """Each supplier's command compares its nation with 20 by a harmless program."""
     rows = _t(spark, sf_dir, "supplier").select(
         "s_suppkey", F.array(F.lit("test"), F.col("s_nationkey").cast("string"), F.lit("-lt"), F.lit("20")).alias("argv")
     )
@@ -121,7 +126,9 @@ def exec_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT conv_id, array_to_string(list_sort(list(turn)), '_') AS t FROM conversations GROUP BY conv_id")
 def tuple_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return turns.select("conv_id", convert.join_elements(F.col("turns"), separator="_").alias("t"))
+    registry = default_registry()
+    registry.add("tuple", "str", lambda v, context: join(v, context, "_"), "app", nested=True)
+    return turns.select("conv_id", Context(registry).inside("app").resolve(F.col("turns"), "tuple[int]", "str").alias("t"))
 
 
 @_query("SELECT o_orderkey, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS s, CASE WHEN o_totalprice > 1000 THEN 'True' ELSE 'False' END AS b FROM orders")
@@ -181,6 +188,28 @@ def downcast_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors_closure(_parents(spark, sf_dir))
 
 
+@_query("""
+WITH c AS (
+  SELECT 'c' || c_custkey::VARCHAR AS sub, 'n' || n_nationkey::VARCHAR AS n, 'r' || n_regionkey::VARCHAR AS r, coalesce(c_mktsegment, '') AS s
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT sub, n AS sup, 1 AS weight FROM c
+UNION ALL SELECT sub, r, 2 FROM c
+UNION ALL SELECT sub, s, 3 FROM c
+UNION ALL SELECT sub, 'object', 4 FROM c
+UNION ALL SELECT 'n' || n_nationkey::VARCHAR, 'r' || n_regionkey::VARCHAR, 1 FROM nation
+UNION ALL SELECT 'n' || n_nationkey::VARCHAR, 'object', 2 FROM nation
+UNION ALL SELECT 'r' || r_regionkey::VARCHAR, 'object', 1 FROM region
+UNION ALL SELECT DISTINCT s, 'object', 1 FROM c
+""")
+def downcast_closure_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with two parents each, their nation and then their market segment."""
+    customer = _t(spark, sf_dir, "customer").select("c_custkey", F.coalesce("c_mktsegment", F.lit("")).alias("segment"))
+    second = customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("sub"), F.col("segment").alias("sup"), F.lit(1).alias("at"))
+    segments = customer.select(F.col("segment").alias("sub"), F.lit("object").alias("sup")).distinct()
+    parents = _parents(spark, sf_dir).unionByName(segments).withColumn("at", F.lit(0)).unionByName(second)
+    return graph.ancestors_closure(parents, "at")
+
+
 _NATION_EDGES = """
 e AS (
   SELECT src, dst, min(weight) AS weight FROM (
@@ -371,6 +400,44 @@ def proxify_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("mask.path").alias("mask_path"), F.col("mask.type").alias("mask_type"), F.col("log.path").alias("log_path"), "mask.managed")
 
 
+@_query("""
+SELECT p_partkey, concat_ws(' ', 'transform_threshold', '-i', 'in/' || p_partkey::VARCHAR || '.vol', '-o', 'out/outputs-' || p_partkey::VARCHAR || '.vol',
+       '--select', CASE WHEN p_size > 5 THEN 'below ' || p_size::VARCHAR END, '--substitute', 'binarize') AS cmd,
+       'out/outputs-' || p_partkey::VARCHAR || '.vol' AS out_path, 'Volume' AS out_type, true AS managed
+FROM part WHERE p_size > 5
+UNION ALL
+SELECT p_partkey, concat_ws(' ', 'transform_threshold', '-i', 'in/' || p_partkey::VARCHAR || '.vol', '-o', 'out/outputs-' || p_partkey::VARCHAR || '.vol',
+       '--substitute', 'binarize'),
+       'out/outputs-' || p_partkey::VARCHAR || '.vol', 'Volume', true
+FROM part WHERE p_size <= 5
+""")
+def proxified_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values to a command and its output asset: a path by way of its file type, a null left out, a new managed file."""
+    registry = default_registry()
+    registry.declare("Volume", "proxy", suffix=".vol")
+    bound = command.bound_programs()["transform_threshold"]
+    params = [replace(p, default=command.Output("Volume", ".vol")) if p.name == "outputs" else p for p in bound.params]
+    program = ProxyCommand(replace(bound, params=params), {"inputs": "Volume", "outputs": "Volume"})
+    path = F.concat(F.lit("in/"), F.col("p_partkey").cast("string"), F.lit(".vol"))
+    chosen = F.when(F.col("p_size") > 5, F.concat(F.lit("below "), F.col("p_size").cast("string")))
+    given = {"inputs": (path, "path"), "select": (chosen, "str"), "substitute": (F.lit("binarize"), "str")}
+    rows = program.apply(_t(spark, sf_dir, "part"), "p_partkey", given, Context(registry), "out")
+    return rows.select("p_partkey", F.array_join("argv", " ").alias("cmd"), F.col("outputs.path").alias("out_path"), F.col("outputs.type").alias("out_type"), "outputs.managed")
+
+
+@_query("""
+SELECT doc_id, lang <> 'en' AS untyped, CASE WHEN lang <> 'en' THEN '/data/' || doc_id::VARCHAR || '.pos' END AS path, CASE WHEN lang <> 'en' THEN 'PosFile' END AS type
+FROM (SELECT doc_id, coalesce(lang, '') AS lang FROM documents)
+""")
+def asset_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets without a type get one; the others (English texts here) have a type already and are told apart first."""
+    english = F.coalesce(F.col("lang"), F.lit("")) == "en"
+    parts = [F.concat(F.lit("/data/"), F.col("doc_id").cast("string")).alias("path"), F.when(english, F.lit(".txt")).alias("ext"), F.when(english, F.lit("Text")).alias("type"), F.lit(False).alias("managed")]
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.struct(*parts).alias("asset"))
+    made = F.when(assets.untyped(F.col("asset")), assets.typed(F.col("asset"), assets.AssetType("PosFile", ".pos")))
+    return rows.select("doc_id", assets.untyped(F.col("asset")).alias("untyped"), made["path"].alias("path"), made["type"].alias("type"))
+
+
 def _delta():
     return F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
 
@@ -386,7 +453,18 @@ def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT event_id, user_id, (sum({_DELTA}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM events")
 def ref_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return assets.running_counts(ledger, "user_id", _delta(), ["ts", "event_id"]).select("event_id", "user_id", "running")
+    return assets.running_counts(ledger, "user_id", _delta(), ["ts", "event_id"], F.date_trunc("day", "ts")).select("event_id", "user_id", "running")
+
+
+@_query(f"""
+WITH s AS (SELECT event_id, user_id, ts, sum({_DELTA}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events),
+m AS (SELECT *, min(running) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM s)
+SELECT event_id, user_id FROM m WHERE running < least(coalesce(least, 0), 0)
+""")
+def ref_underflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that take a reference from a user who has none left."""
+    ledger = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return assets.underflows(ledger, "user_id", _delta(), ["ts", "event_id"]).select("event_id", "user_id")
 
 
 @_query(f"SELECT user_id, sum({_DELTA})::BIGINT AS refs FROM events GROUP BY user_id HAVING sum({_DELTA}) <= 0")
@@ -428,9 +506,9 @@ WHERE z * z + y * y + x * x <= 4 GROUP BY vec_id
 """)
 def sphere_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The voxels of each 4 x 4 x 4 volume inside a sphere of radius 2 round its centre voxel."""
-    flat = volumes.voxels(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", (4, 4, 4))
-    inside = flat.where(volumes.inside_sphere(F.col("z"), F.col("y"), F.col("x"), (2, 2, 2), 2))
-    return inside.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
+    inside = volumes.sphere_values(F.col("embedding"), (4, 4, 4), (2, 2, 2), 2)
+    total = F.aggregate(inside, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.size(inside).cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
 @_query("SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings")

@@ -12,6 +12,10 @@ def running_references(events: DataFrame, path: str, delta: Column) -> DataFrame
     return events.groupBy(path).agg(F.sum(delta).cast("long").alias("refs"))
 
 
-def start(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The counts of all events there are now, in a memory table."""
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The counts of all events there are now, as Parquet files at ``path``."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

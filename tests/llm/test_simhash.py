@@ -1,10 +1,11 @@
+import functools
 import re
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from typeflow.llm import simhash
+from typeflow.llm import common, simhash
 from typeflow.llm.components import connected_components
 
 
@@ -18,7 +19,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute(rows):
+def brute(rows, radius=2):
     """(doc_id, fingerprint, component) by comparing all pairs."""
     values = sorted({brute_print(t) for _, t in rows})
     root = {v: v for v in values}
@@ -30,7 +31,7 @@ def brute(rows):
 
     for a in values:
         for b in values:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= radius:
                 root[find(a)] = find(b)
     least = {}
     for i, t in rows:
@@ -114,3 +115,54 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {r.root for r in connected_components(edges).collect()} == {0}
     assert connected_components(edges.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("radius", [3, 6])
+def test_wide_components_are_those_of_all_pairs(spark, radius):
+    """Families of copies, chains, one dense group and strangers."""
+    import random
+
+    random.seed(radius)
+    flipped = lambda v, n, bits=64: functools.reduce(lambda x, _: x ^ 1 << random.randrange(bits), range(n), v)
+    values = {random.getrandbits(64) for _ in range(40)}
+    for seed in sorted(values)[:8]:
+        family = [seed]
+        for _ in range(30):
+            family.append(flipped(random.choice(family), random.randrange(1, radius + 4)))
+        values |= set(family)
+    base = random.getrandbits(64)
+    values |= {flipped(base, random.randrange(1, 8), 20) for _ in range(250)}
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in values:
+        for b in values:
+            if (a ^ b).bit_count() <= radius:
+                root[find(a)] = find(b)
+    want = {}
+    for v in values:
+        want.setdefault(find(v), set()).add(v)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    roots = {r.u: r.root for r in simhash.wide_components(spark.createDataFrame(signed, "fp long"), radius).collect()}
+    got = {}
+    for (v,) in signed:
+        got.setdefault(roots.get(v, v), set()).add(v & (1 << 64) - 1)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert simhash.wide_components(spark.createDataFrame([], "fp long"), radius).collect() == []
+
+
+def test_texts_longer_than_a_block_of_shingles():
+    for words in (65_537, 65_538, 65_539, 200_000):
+        text = " ".join(f"w{k % 70_000}" for k in range(words))
+        assert simhash.fingerprint(text) == brute_print(text)
+
+
+def test_hot_fingerprints_join_by_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert found(simhash.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert simhash.keep_one(docs.checkpoint()).count() == len({c for _, _, c in brute([(r.doc_id, r.text) for r in docs.collect()], simhash.WIDE_RADIUS)})

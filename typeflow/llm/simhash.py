@@ -11,6 +11,11 @@ those one dropped bit away: two fingerprints within two bits meet at a common pr
 that meet at a probe are within two bits of each other.  A probe holds at most one fingerprint
 more than there are dropped bits, so links grow with the fingerprints, not with pairs.
 
+That takes few probes for RADIUS 2 only.  ``wide_components`` serves larger radii, for copies with more
+edits: in every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
+they are within the radius.  A bucket that then still holds several components is searched for links
+between them, each member outside its largest component against all its members, so no link is missed.
+
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any
 other; equal texts share a fingerprint and so a component; a null doc_id belongs to its
 component but never names it while another id does; a very long text is hashed whole, in blocks of
@@ -25,7 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -33,6 +38,8 @@ from .common import free_name, hot_join, if_small, settle, table
 from .components import connected_components
 
 RADIUS = 2
+#: Differing bits that still link two documents where one of each group is to stay (127 tables).
+WIDE_RADIUS = 6
 SHINGLE_WORDS = 3
 SEED = 42
 BITS = 64
@@ -88,9 +95,7 @@ def _probes(mask: int) -> Column:
 def links(values: DataFrame) -> DataFrame:
     """(u, v) edges that connect the distinct fingerprints ``values`` (fp) just as all pairs within RADIUS do."""
     masks = covering_masks()
-    keyed = values.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask")).select(
-        "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
-    )
+    keyed = _keyed(values, masks)
     crowded = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key")
     inside = keyed.join(crowded, ["t", "key"], "left_semi")
     by_table = F.coalesce(*[F.when(F.col("t") == t, _probes(m)) for t, m in enumerate(masks)])
@@ -99,25 +104,60 @@ def links(values: DataFrame) -> DataFrame:
     return met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v").select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _keyed(values: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, t, key: each fingerprint under its kept bits in every table."""
+    exploded = values.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
+    return exploded.select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
+def wide_components(values: DataFrame, radius: int) -> DataFrame:
+    """(u, root) of the distinct fingerprints ``values`` (fp) that are linked by pairs within ``radius`` bits, as all pairs would link them."""
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    bucket = Window.partitionBy("t", "key").orderBy("fp")
+    placed = _keyed(values, covering_masks(radius)).select(
+        "t", "key", "fp", F.first("fp").over(bucket).alias("least"), F.lag("fp").over(bucket).alias("prev"), F.lead("fp").over(bucket).alias("next")
+    )
+    crowded = settle(placed.where(F.col("prev").isNotNull() | F.col("next").isNotNull()).select("t", "key", "fp", "least", "prev"))
+    after = crowded.where(F.col("prev").isNotNull())
+    made = after.where(near("fp", "least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    made = made.unionByName(after.where(near("fp", "prev")).select(F.col("fp").alias("u"), F.col("prev").alias("v")))
+    roots = connected_components(made)
+
+    # a bucket of one component needs no more links; others are searched for links between their components
+    rooted = crowded.select("t", "key", "fp").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = settle(rooted)
+    mixed = rooted.groupBy("t", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t", "key")
+    rooted = settle(rooted.join(mixed, ["t", "key"]))
+    sizes = rooted.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("t", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    outside = rooted.join(largest, ["t", "key"]).where("root <> main").select("t", "key", F.col("fp").alias("other"), F.col("root").alias("v"))
+    more = outside.join(rooted.withColumnRenamed("root", "u"), ["t", "key"]).where((F.col("u") != F.col("v")) & near("fp", "other"))
+    joined = connected_components(more.select("u", "v"))
+    # roots that were joined pass their new root on
+    again = joined.select(F.col("u").alias("root"), F.col("root").alias("higher"))
+    members = roots.unionByName(joined.select("u", F.col("u").alias("root")).join(roots.select("u"), "u", "left_anti"))
+    return settle(members.join(again, "root", "left").select("u", F.coalesce("higher", "root").alias("root")).where("u <> root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, print, fp, root (a component's least fp), component_id (the least doc_id reachable) for each row of ``docs``."""
     prints = settle(fingerprints(docs))
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    roots = connected_components(links(values.select("fp")))
+    roots = connected_components(links(values.select("fp"))) if radius == RADIUS else wide_components(values.select("fp"), radius)
     rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = settle(rooted.join(ids, "root").select("fp", "root", "component_id", "n"))
     return hot_join(prints, named, "fp").select("doc_id", "print", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """One document of each component of ``docs``, with its columns: the one whose doc_id names it.
 
     Rows are told apart by doc_id and text.  Where several of a component have its least doc_id, or
     all have none, the one with the least hash of its text stays; of equal rows one stays.  Texts are
     read again only to leave out the other rows.
     """
-    found = settle(near_duplicates(docs).groupBy("root", "doc_id", "print").agg(F.count("*").alias("copies")))
+    found = settle(near_duplicates(docs, radius).groupBy("root", "doc_id", "print").agg(F.count("*").alias("copies")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")).alias("leader")
     leaders = found.groupBy("root").agg(least, F.count("*").alias("n"), F.max("copies").alias("most")).where("n > 1 OR most > 1").drop("most")
     leads = F.col("doc_id").eqNullSafe(F.col("leader.doc_id")) & (F.col("print") == F.col("leader.print"))

@@ -148,3 +148,107 @@ def test_sharding_deals_a_bin_of_groups_again_when_no_quota_holds_it(spark, monk
     got = sharding.settle(sharding.shard(df))
     check_shards(got.collect(), df.collect())
     assert sharding.cut_edges(got).first().n_cut <= 32
+
+
+def test_sharding_of_null_and_repeated_rows(spark):
+    rows = [(None, None)] * 300 + [(5, "same row")] * 200 + [(i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.settle(sharding.shard(df))
+    check_shards(got.collect(), df.collect())
+    assert got.where("`group` IS NULL").count() == 500
+
+
+def test_sharding_against_brute_force(spark, monkeypatch):
+    """Every group's shard, by serving the groups one by one in plain Python."""
+    monkeypatch.setattr(sharding, "MOVE_BINS", 1 << 30)  # a bin for each group
+    sizes = [40, 25, 25, *[2 + k % 9 for k in range(60)]]
+    rows = [(100 * g + k, f"group {g}") for g, n in enumerate(sizes) for k in range(n)] + [(10_000 + i, f"own {i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    capacity = [len(rows) // 16 + (s < len(rows) % 16) for s in range(16)]
+    start = {r.doc_id: r.s for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 16) AS s").collect()}
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    named = df.select("text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("g")).distinct()
+    named = named.select("text", F.concat(F.lit("g"), F.hex("g")).alias("large"), F.pmod(F.xxhash64("g", F.lit(0)), F.lit(1 << 30)).cast("string").alias("bin"))
+    name = {r.text: (r.large if len(groups[r.text]) > max(1, len(rows) // 1024) else r.bin) for r in named.collect()}
+    left, want = list(capacity), {}
+    for text in sorted((t for t in groups if len(groups[t]) > 1), key=lambda t: (-len(groups[t]), name[t])):
+        votes, n = Counter(start[i] for i in groups[text]), len(groups[text])
+        fits = [s for s in range(16) if left[s] >= n]
+        if fits:
+            best = max(fits, key=lambda s: (votes[s], left[s], -s))
+            left[best] -= n
+            want[text] = {best}
+        else:  # split over as few shards as hold it
+            want[text] = None
+            while n > 0:
+                best = max(range(16), key=lambda s: (left[s] if left[s] < n else -1, votes[s], -s)) if max(left) < n else max((s for s in range(16) if left[s] >= n), key=lambda s: (votes[s], left[s], -s))
+                taken = min(n, left[best])
+                left[best] -= taken
+                n -= taken
+    got = {}
+    for r in sharding.shard(df).join(df.select("doc_id", "text"), "doc_id").collect():
+        got.setdefault(r.text, set()).add(r.shard)
+    assert sum(w is not None for w in want.values()) > 55
+    for text, shards in want.items():
+        assert shards is None or got[text] == shards, text
+
+
+def brute_items(text, items):
+    """Words, hit words and items of one text, by comparing every window."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    hit, found = set(), set()
+    for item_id, item in items:
+        for n, window in item:
+            for at in range(len(words) - n + 1):
+                if words[at : at + n] == window:
+                    hit |= set(range(at, at + n))
+                    found.add(item_id)
+    return len(words), len(hit), sorted(str(i) for i in found if i is not None)
+
+
+def test_decontamination_against_all_windows(spark, monkeypatch):
+    """Few words, so that windows overlap and repeat; items of all lengths; a bitmap that lets much through."""
+    import random
+
+    random.seed(2)
+    text = lambda n: " ".join(random.choice("aa bb cc dd É ee".split()) for _ in range(n))
+    items = [(k, text(k % 15)) for k in range(40)] + [(None, text(10)), (3, None)]
+    rows = [(k, text(random.randrange(60))) for k in range(80)] + [(1, None), (None, text(40)), (None, items[12][1])]
+    rows += rows[:5]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    windows = []
+    for i, t in items:
+        words = [w.lower() if w.isascii() else w for w in (t or "").split()]
+        n = min(10, len(words))
+        windows.append((i, [(n, words[k : k + n]) for k in range(len(words) - n + 1)] if n else []))
+    want = sorted((str(i), *brute_items(t, windows)) for i, t in rows)
+    for longs in (0, 12):
+        monkeypatch.setattr(decontaminate, "LEAST_LONGS", longs)
+        monkeypatch.setattr(decontaminate, "MOST_LONGS", longs)
+        got = sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect())
+        assert got == want
+
+
+def test_chats_of_many_turns_and_long_texts(spark):
+    long = "word <|im_end|> " * 60_000
+    rows = [(1, k, ("user", "assistant")[k // 3 % 2], f"turn {k}") for k in range(5_000)] + [(2, 0, "assistant", long), (2, 1, "assistant", long)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    made = chat.format_chats(turns).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("segments")).alias("trained"))
+    got = {r.conv_id: r for r in made.collect()}
+    for conv in (1, 2):
+        own = [(role, text) for c, _, role, text in rows if c == conv]
+        assert [tuple(t) for t in got[conv].turns] == own
+        assert got[conv].trained == "".join(text for role, text in own if role == "assistant")
+    assert got[1].formatted.count("<|im_start|>") == -(-5_000 // 3)
+
+
+def test_rule_stage_measures_once(spark, sf_dir):
+    """The filter holds one copy of the measurements, and keeps what the ledger and policy keep."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = quality_rules.keep(docs, quality_rules.PIPELINE)
+    want = quality_rules.apply_policy(quality_rules.ledger(docs), quality_rules.PIPELINE).where("kept")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("n_dup_lines, cast(") == 1

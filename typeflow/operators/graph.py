@@ -14,6 +14,10 @@ from ..functions.linear import linear_order
 from .storage import checkpointed
 
 
+#: Relaxations of the edges between two checkpoints.
+STEPS = 2
+
+
 def _first(df: DataFrame, key: list[str], order: Column, last: bool = False) -> DataFrame:
     """The first (or last) row of each key by an aggregate, which needs no task to hold a key's rows."""
     rest = [c for c in df.columns if c not in key]
@@ -50,18 +54,17 @@ def ancestors_closure(parents: DataFrame, position: str | None = None, levels: i
         # a type is ready once all its parents have a line; it then has one that is new
         line_of = lambda df: df.select(F.col("sub").alias("__p"), "line")
         one = waiting.where(F.size("ps") == 1).withColumn("__p", F.col("ps")[0]).join(line_of(last), "__p")
-        one = one.select("sub", F.concat(F.array("sub"), "line").alias("line"))
-        ready = one
+        ready = one.select("sub", F.concat(F.array("sub"), "line").alias("line"))
         if several:
             each = waiting.where(F.size("ps") > 1).select("sub", "ps", F.posexplode("ps").alias("at", "__p")).join(line_of(done), "__p")
             full = each.groupBy("sub").agg(F.first("ps").alias("ps"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines")).where(F.size("lines") == F.size("ps"))
-            whole = full.select("sub", merged(F.transform("lines", lambda x: x["line"]), "ps").alias("line"))
-            ready = one.unionByName(whole.select("sub", F.concat(F.array("sub"), "line").alias("line")))
-        last = checkpointed(ready.join(done, "sub", "left_anti"))
+            whole = full.join(done, "sub", "left_anti").select("sub", merged(F.transform("lines", lambda x: x["line"]), "ps").alias("line"))
+            ready = ready.unionByName(whole.select("sub", F.concat(F.array("sub"), "line").alias("line")))
+        last = checkpointed(ready)
         if last.isEmpty():
             lined = done.select("sub", F.posexplode("line").alias("weight", "sup"))
             return lined.where("weight > 0").select("sub", "sup", "weight")
-        done = checkpointed(done.unionByName(last))
+        done = done.unionByName(last)
     raise ValueError(f"types have ancestors more than {levels} levels up")
 
 
@@ -104,27 +107,33 @@ def nearest_ancestor(ancestry: DataFrame, nodes: DataFrame, key: str, ancestor:
 def shortest_paths(edges: DataFrame, source: Column, rounds: int = 1000) -> DataFrame:
     """(node, cost, hops, path) from ``source`` by least (cost, hops, path) over edges (src, dst, weight).
 
-    Each round relaxes all edges and keeps each node's best row by an aggregate; it ends when no row
-    improves.  Weights must not be negative.  The path joins nodes by '>'.
+    Each round relaxes the edges of the nodes that the last one improved, STEPS times over, and keeps each
+    node's best row by an aggregate; it ends when no row improves.  Weights must not be negative.  The path
+    joins nodes by '>'.
     """
     spark = edges.sparkSession
-    edges = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    edges = checkpointed(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     best = spark.range(1).select(source.alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("hops"), source.cast("string").alias("path"))
-    best = checkpointed(best)
-    changed = best
-    for _ in range(rounds):
-        longer = changed.join(edges, F.col("node") == F.col("src")).select(
+
+    def relaxed(best: DataFrame) -> DataFrame:
+        longer = best.where("better").join(edges, F.col("node") == F.col("src")).select(
             F.col("dst").alias("node"),
             (F.col("cost") + F.col("weight")).alias("cost"),
             (F.col("hops") + 1).alias("hops"),
             F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"),
         )
-        now = best.withColumn("old", F.lit(True)).unionByName(longer.withColumn("old", F.lit(False)))
-        now = now.groupBy("node").agg(F.min(F.struct("cost", "hops", "path")).alias("b"), F.min(F.when(F.col("old"), F.struct("cost", "hops", "path"))).alias("o"))
-        now = checkpointed(now.select("node", "b.*", (~F.col("b").eqNullSafe(F.col("o"))).alias("better")))
-        best, changed = now.drop("better"), now.where("better").drop("better")
-        if changed.isEmpty():
-            return best
+        both = best.select("node", "cost", "hops", "path", F.lit(True).alias("old")).unionByName(longer.withColumn("old", F.lit(False)))
+        row = F.struct("cost", "hops", "path")
+        both = both.groupBy("node").agg(F.min(row).alias("b"), F.min(F.when(F.col("old"), row)).alias("o"))
+        return both.select("node", "b.*", (~F.col("b").eqNullSafe(F.col("o"))).alias("better"))
+
+    best = best.withColumn("better", F.lit(True))
+    for _ in range(rounds):
+        for _ in range(STEPS):
+            best = relaxed(best)
+        best = checkpointed(best)
+        if best.where("better").isEmpty():
+            return best.drop("better")
     raise ValueError(f"paths did not settle in {rounds} rounds")
 
 

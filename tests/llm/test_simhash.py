@@ -20,8 +20,14 @@ def brute_print(text):
 
 
 def brute(rows, radius=2):
-    """(doc_id, fingerprint, component) by comparing all pairs."""
+    """(doc_id, fingerprint, component) by comparing all pairs, beyond radius 2 by second fingerprints too."""
     values = sorted({brute_print(t) for _, t in rows})
+    seconds = {}
+    for _, t in rows:
+        x = simhash.second_fingerprint(t)
+        seconds.setdefault(brute_print(t), []).append(x - (1 << 64) if x >> 63 else x)
+    second = {v: min(found) & (1 << 64) - 1 for v, found in seconds.items()}  # the least as signed numbers
+    agree = lambda a, b: radius == 2 or (second[a] ^ second[b]).bit_count() <= simhash.SECOND_RADIUS
     root = {v: v for v in values}
 
     def find(v):
@@ -31,7 +37,7 @@ def brute(rows, radius=2):
 
     for a in values:
         for b in values:
-            if (a ^ b).bit_count() <= radius:
+            if (a ^ b).bit_count() <= radius and agree(a, b):
                 root[find(a)] = find(b)
     least = {}
     for i, t in rows:
@@ -78,6 +84,19 @@ def test_masks_cover_every_pair_of_bits():
             assert any(not m & difference for m in masks)
 
 
+@pytest.mark.parametrize("radius", [3, 5, 6])
+def test_masks_of_larger_radii_cover_and_keep_half_of_the_bits(radius):
+    import random
+
+    random.seed(radius)
+    for finer in (False, True):
+        masks = [m & (1 << 64) - 1 for m in simhash.covering_masks(radius, finer)]
+        assert len(masks) == (2 << radius) - 1 and min(m.bit_count() for m in masks) >= 28
+        for _ in range(3000):
+            difference = sum(1 << b for b in random.sample(range(64), radius))
+            assert any(not m & difference for m in masks)
+
+
 def test_links_in_a_crowded_bucket(spark):
     """A chain and a dense cluster are linked as all pairs would link them."""
     import random
@@ -132,6 +151,8 @@ def test_wide_components_are_those_of_all_pairs(spark, radius):
         values |= set(family)
     base = random.getrandbits(64)
     values |= {flipped(base, random.randrange(1, 8), 20) for _ in range(250)}
+    common_bits = random.getrandbits(64)
+    second = {v: flipped(common_bits, random.choice((2, 9, 14))) for v in values}
     root = {v: v for v in values}
 
     def find(v):
@@ -141,18 +162,26 @@ def test_wide_components_are_those_of_all_pairs(spark, radius):
 
     for a in values:
         for b in values:
-            if (a ^ b).bit_count() <= radius:
+            if (a ^ b).bit_count() <= radius and (second[a] ^ second[b]).bit_count() <= simhash.SECOND_RADIUS:
                 root[find(a)] = find(b)
     want = {}
     for v in values:
         want.setdefault(find(v), set()).add(v)
-    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    roots = {r.u: r.root for r in simhash.wide_components(spark.createDataFrame(signed, "fp long"), radius).collect()}
+    signed = [tuple(x - (1 << 64) if x >> 63 else x for x in (v, second[v])) for v in values]
+    roots = {r.u: r.root for r in simhash.wide_components(spark.createDataFrame(signed, "fp long, fp2 long"), radius).collect()}
     got = {}
-    for (v,) in signed:
+    for v, _ in signed:
         got.setdefault(roots.get(v, v), set()).add(v & (1 << 64) - 1)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-    assert simhash.wide_components(spark.createDataFrame([], "fp long"), radius).collect() == []
+    assert simhash.wide_components(spark.createDataFrame([], "fp long, fp2 long"), radius).collect() == []
+
+
+def test_second_fingerprints_are_independent_of_the_first(sf_dir, spark):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text and len(r.text) > 300]
+    apart = [(simhash.fingerprint(t) ^ simhash.second_fingerprint(t)).bit_count() for t in texts]
+    assert 30 < sum(apart) / len(apart) < 34
+    one, two = texts[0], texts[0].replace(texts[0].split()[20], "edited", 1)
+    assert (simhash.second_fingerprint(one) ^ simhash.second_fingerprint(two)).bit_count() <= 16
 
 
 def test_texts_longer_than_a_block_of_shingles():

@@ -13,14 +13,16 @@ MAX_ROUNDS = 60
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each vertex's neighbours linked to its least one: the larger neighbours, or the smaller ones and itself.
 
-    A vertex with very many neighbours is a skewed key of the join; its minimum comes from a
-    partial aggregate, and the join's long side is one that Spark can split.
+    A vertex with very many neighbours, the centre of a large star, is a skewed key of the join.  Its
+    minimum comes from a partial aggregate and is settled, so that both sides of the join are plain
+    shuffles, of which Spark's adaptive execution splits the long one.
     """
     if large:
         around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = settle(least) if large else least
     linked = around.join(least, "u")
     if large:
         made = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

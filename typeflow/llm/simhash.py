@@ -12,9 +12,11 @@ that meet at a probe are within two bits of each other.  A probe holds at most o
 more than there are dropped bits, so links grow with the fingerprints, not with pairs.
 
 That takes few probes for RADIUS 2 only.  ``wide_components`` serves larger radii, for copies with more
-edits: in every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
-they are within the radius.  A bucket that then still holds several components is searched for links
-between them, each member outside its largest component against all its members, so no link is missed.
+edits.  So wide a radius would link strangers in a very large corpus, so a second, independent SimHash of
+the same shingles must confirm each link.  In every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
+they are within the radius.  A bucket that then still holds several components is cut by the tables of a
+second family, independent of the first, which meet the same guarantee; the small parts, which agree on
+three quarters of all bits, are searched for links between their components, so no link is missed.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any
 other; equal texts share a fingerprint and so a component; a null doc_id belongs to its
@@ -40,45 +42,75 @@ from .components import connected_components
 RADIUS = 2
 #: Differing bits that still link two documents where one of each group is to stay (127 tables).
 WIDE_RADIUS = 6
+#: Differing bits of the second fingerprints that such a link may have.  Unrelated fingerprints are within 6 bits with
+#: a chance of 4.5e-12 a pair, which is too many among 10^10 documents; within 16 bits of the second one with 5e-5.
+SECOND_RADIUS = 16
 SHINGLE_WORDS = 3
 SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a text's word shingles, as an unsigned number."""
-    words = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) < SHINGLE_WORDS:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS))))
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # very long texts in bounded memory
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(total * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's hash (print) and fingerprint (fp), signed bigints, a row for each row of ``docs``."""
+def _hashes(text: str | None) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included."""
+    words = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
+    if len(words) < SHINGLE_WORDS:
+        shingles = [b" ".join(words)] if words else []
+    else:
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS))))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of a text's word shingles, as an unsigned number."""
+    return _majority(_hashes(text))
+
+
+def second_fingerprint(text: str | None) -> int:
+    """Another SimHash of the same shingles, whose bits are independent of the first one's."""
+    return _majority(_remixed(_hashes(text)))
+
+
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).astype("<u8")
+
+
+def fingerprints(docs: DataFrame, second: bool = False) -> DataFrame:
+    """doc_id, the text's hash (print) and fingerprint (fp), and the ``second`` one (fp2), signed bigints, a row for each row of ``docs``."""
+    names = ["doc_id", "print", "fp", *(["fp2"] if second else [])]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype="<u8", count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view("<i8"))], names=["doc_id", "print", "fp"])
+            values = np.zeros((batch.num_rows, len(names) - 2), dtype="<u8")
+            for i, text in enumerate(batch.column(1)):
+                hashes = _hashes(text.as_py())
+                values[i] = [_majority(hashes), *([_majority(_remixed(hashes))] if second else [])]
+            columns = [pa.array(np.ascontiguousarray(column).view("<i8")) for column in values.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
-    return rows.mapInArrow(of, "doc_id long, print long, fp long")
+    return rows.mapInArrow(of, ", ".join(f"{name} long" for name in names))
+
 
+def covering_masks(radius: int = RADIUS, finer: bool = False) -> list[int]:
+    """The 2^(radius+1) - 1 masks of kept bits, as signed 64-bit numbers; ``finer`` gives a second family.
 
-def covering_masks(radius: int = RADIUS) -> list[int]:
-    """The 2^(radius+1) - 1 masks of kept bits, as signed 64-bit numbers."""
-    vectors = [1 + i % ((2 << radius) - 1) for i in range(BITS)]
+    With fewer vectors than bits all are dealt in turn.  With more, those with the highest bit set are,
+    one for each bit, so every mask but the full one keeps half of the bits.
+    """
+    tables = (2 << radius) - 1
+    place = [i * (2 * i + 1) % BITS if finer else i for i in range(BITS)]  # a permutation
+    vectors = [1 + k % tables if tables < BITS else (1 << radius) | k % (1 << radius) for k in place]
     masks = [sum(1 << i for i, v in enumerate(vectors) if (a & v).bit_count() % 2) for a in range(1, 2 << radius)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
@@ -104,34 +136,41 @@ def links(values: DataFrame) -> DataFrame:
     return met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v").select("u", "v").distinct()
 
 
-def _keyed(values: DataFrame, masks: list[int]) -> DataFrame:
-    """fp, t, key: each fingerprint under its kept bits in every table."""
-    exploded = values.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
-    return exploded.select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+def _keyed(values: DataFrame, masks: list[int], *columns: str) -> DataFrame:
+    """t, key and the ``columns`` of each fingerprint fp, under its kept bits in every table."""
+    exploded = values.select("fp", *columns, F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
+    return exploded.select(*(columns or ["fp"]), "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
+def _mixed(rooted: DataFrame, *bucket: str) -> DataFrame:
+    """The rows of buckets that hold several roots."""
+    whole = Window.partitionBy(*bucket)
+    marked = rooted.withColumns({"__a": F.min("root").over(whole), "__b": F.max("root").over(whole)})
+    return marked.where("__a <> __b").drop("__a", "__b")
 
 
 def wide_components(values: DataFrame, radius: int) -> DataFrame:
-    """(u, root) of the distinct fingerprints ``values`` (fp) that are linked by pairs within ``radius`` bits, as all pairs would link them."""
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    bucket = Window.partitionBy("t", "key").orderBy("fp")
-    placed = _keyed(values, covering_masks(radius)).select(
-        "t", "key", "fp", F.first("fp").over(bucket).alias("least"), F.lag("fp").over(bucket).alias("prev"), F.lead("fp").over(bucket).alias("next")
+    """(u, root) of the distinct fingerprints ``values`` (fp, fp2), as linked by all pairs within ``radius`` and SECOND_RADIUS bits."""
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    near = lambda a, b: (apart(f"{a}.fp", f"{b}.fp") <= radius) & (apart(f"{a}.fp2", f"{b}.fp2") <= SECOND_RADIUS)
+    bucket = Window.partitionBy("t", "key").orderBy("own")
+    placed = _keyed(values.select("fp", F.struct("fp", "fp2").alias("own")), covering_masks(radius), "own").select(
+        "t", "key", "own", F.first("own").over(bucket).alias("least"), F.lag("own").over(bucket).alias("prev"), F.lead("own").over(bucket).alias("next")
     )
-    crowded = settle(placed.where(F.col("prev").isNotNull() | F.col("next").isNotNull()).select("t", "key", "fp", "least", "prev"))
+    crowded = settle(placed.where(F.col("prev").isNotNull() | F.col("next").isNotNull()).select("t", "key", "own", "least", "prev"))
     after = crowded.where(F.col("prev").isNotNull())
-    made = after.where(near("fp", "least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    made = made.unionByName(after.where(near("fp", "prev")).select(F.col("fp").alias("u"), F.col("prev").alias("v")))
-    roots = connected_components(made)
-
-    # a bucket of one component needs no more links; others are searched for links between their components
-    rooted = crowded.select("t", "key", "fp").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = settle(rooted)
-    mixed = rooted.groupBy("t", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t", "key")
-    rooted = settle(rooted.join(mixed, ["t", "key"]))
-    sizes = rooted.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("t", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    outside = rooted.join(largest, ["t", "key"]).where("root <> main").select("t", "key", F.col("fp").alias("other"), F.col("root").alias("v"))
-    more = outside.join(rooted.withColumnRenamed("root", "u"), ["t", "key"]).where((F.col("u") != F.col("v")) & near("fp", "other"))
+    edge = lambda to: after.where(near("own", to)).select(F.col("own.fp").alias("u"), F.col(f"{to}.fp").alias("v"))
+    roots = connected_components(edge("least").unionByName(edge("prev")))
+
+    # a bucket of one component needs no more links; the others are cut finer and searched for links between components
+    rooted = crowded.select("t", "key", "own").join(roots, F.col("own.fp") == F.col("u"), "left").select("t", "key", "own", F.coalesce("root", "own.fp").alias("root"))
+    rooted = _mixed(settle(rooted), "t", "key")
+    finer = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, finer=True)])
+    cut = rooted.select("t", "key", "own", "root", F.posexplode(finer).alias("s", "mask"))
+    part = F.xxhash64("t", "key", "s", F.col("own.fp").bitwiseAND(F.col("mask"))).alias("part")
+    parts = settle(_mixed(cut.select(part, "own", "root"), "part"))
+    other = parts.select("part", F.col("own").alias("other"), F.col("root").alias("v"))
+    more = parts.withColumnRenamed("root", "u").join(other, "part").where((F.col("u") > F.col("v")) & near("own", "other"))
     joined = connected_components(more.select("u", "v"))
     # roots that were joined pass their new root on
     again = joined.select(F.col("u").alias("root"), F.col("root").alias("higher"))
@@ -141,9 +180,15 @@ def wide_components(values: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, print, fp, root (a component's least fp), component_id (the least doc_id reachable) for each row of ``docs``."""
-    prints = settle(fingerprints(docs))
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    roots = connected_components(links(values.select("fp"))) if radius == RADIUS else wide_components(values.select("fp"), radius)
+    wide = radius != RADIUS
+    prints = settle(fingerprints(docs, second=wide))
+    seconds = [F.min("fp2").alias("fp2")] if wide else []  # that of equal fingerprints
+    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *seconds)
+    if wide:
+        values = settle(values)
+        roots = wide_components(values, radius)
+    else:
+        roots = connected_components(links(values.select("fp")))
     rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = settle(rooted.join(ids, "root").select("fp", "root", "component_id", "n"))

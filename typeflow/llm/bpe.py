@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table
+from .common import table, trim, trimmed
 
 #: A chunk ends when its texts have this many characters, or this many distinct words.
 CHUNK_CHARS = 8_000_000
@@ -124,7 +124,7 @@ def _words(docs: DataFrame, spec, parts: int) -> DataFrame:
             same = [pa.array(np.full(len(used), v, np.int64)) for v in (number, check)]
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *same, pa.array(lines, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(tokens.trimmed(of), "part int, chunk long, check long, words binary")
+    return docs.mapInArrow(trimmed(of), "part int, chunk long, check long, words binary")
 
 
 def _codes(docs: DataFrame, spec, parts: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _codes(docs: DataFrame, spec, parts: int) -> DataFrame:
                 columns = [pa.array([number] * len(rows), pa.int64())] + [pa.array(x, t) for x, t in zip(zip(*rows), schema.types[1:])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(tokens.trimmed(of), "chunk long, check long, doc_id long, codes binary")
+    return docs.mapInArrow(trimmed(of), "chunk long, check long, doc_id long, codes binary")
 
 
 def _encode_parts(words: DataFrame, spec) -> DataFrame:
@@ -168,7 +168,7 @@ def _encode_parts(words: DataFrame, spec) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     dealt = words.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(tokens.trimmed(of), "chunk long, check long, part int, sizes binary, ids binary")
+    return dealt.mapInArrow(trimmed(of), "chunk long, check long, part int, sizes binary, ids binary")
 
 
 def _put_in_place(key, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     def place(key, left: pa.Table, right: pa.Table) -> pa.Table:
         placed = pa.Table.from_batches(_put_in_place(key, left, right), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
-        tokens.trim()
+        trim()
         return placed
 
     return _codes(docs, spec, parts).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(place, "doc_id long, ids binary")
@@ -235,7 +235,7 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), joined), pa.scalar(" ", pa.large_string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), column.slice(at, 500), text.cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tokens.trimmed(of), "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(of), "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame) -> DataFrame:

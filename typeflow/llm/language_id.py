@@ -22,13 +22,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import free_name, held_out, table
+from .common import free_name, held_out, portions, table, trim, trimmed
 from .labelled import in_sample
 
 BUCKETS = 1 << 15
@@ -37,7 +35,7 @@ SAMPLE = 10_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Characters of text that are turned into buckets at once.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 250_000
 #: Weight of one n-gram's evidence: overlapping n-grams repeat each other.
 TEMPER = 1 / len(ORDERS)
 #: Languages that a model may have, which bounds its matrix to 64 MB.
@@ -135,7 +133,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.nonzero(row)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
 
-    summed = chosen.select("text", "lang").mapInArrow(of, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = chosen.select("text", "lang").mapInArrow(trimmed(of), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = tuple(sorted(sizes))
     matrix = np.full((len(languages), BUCKETS), SMOOTHING)
     place = {lang: i for i, lang in enumerate(languages)}
@@ -162,21 +160,23 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("__lang_pred", "__score")) -> DataFrame:
     """The columns of ``docs`` with the language and its score, called ``names``; only the text column is read for them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS, whatever the corpus's size
-    kinds = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-
-    @F.pandas_udf(kinds)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        languages = np.array([*m.languages, UNKNOWN], dtype=object)
-        values = [t or "" for t in texts]
-        lettered = np.array([any(map(str.isalpha, t)) for t in values], dtype=bool)
-        best, score = np.full(len(values), len(m.languages)), np.zeros(len(values))
-        if m.languages and lettered.any():
-            log = score_texts([t for t, x in zip(values, lettered) if x], m) * TEMPER + m.log_prior
-            p = np.exp(log - log.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            best[lettered], score[lettered] = p.argmax(axis=1), p.max(axis=1)
-        return pd.DataFrame({"lang_pred": languages[best], "score": score})
+    languages = np.array([*model.languages, UNKNOWN], dtype=object)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def of(texts: pa.Array) -> pa.Array:
+        m, best, score = shared.value, [], []
+        for run in portions((t.as_py() or "" for t in texts), STEP_CHARS):
+            lettered = np.array([any(map(str.isalpha, t)) for t in run], dtype=bool)
+            own, sure = np.full(len(run), len(m.languages)), np.zeros(len(run))
+            if m.languages and lettered.any():
+                log = score_texts([t for t, x in zip(run, lettered) if x], m) * TEMPER + m.log_prior
+                p = np.exp(log - log.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                own[lettered], sure[lettered] = p.argmax(axis=1), p.max(axis=1)
+            best += languages[own].tolist()
+            score += sure.tolist()
+        trim()
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     guess = free_name(docs, "__guess")

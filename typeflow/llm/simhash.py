@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import free_name, hot_join, if_small, settle, table
+from .common import free_name, hot_join, if_small, settle, table, trimmed
 from .components import connected_components
 
 RADIUS = 2
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, second: bool = False) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
-    return rows.mapInArrow(of, ", ".join(f"{name} long" for name in names))
+    return rows.mapInArrow(trimmed(of), ", ".join(f"{name} long" for name in names))
 
 
 def covering_masks(radius: int = RADIUS, finer: bool = False) -> list[int]:

@@ -8,12 +8,11 @@ encodes distinct words with the tokenizers library.  Ids are held as little-endi
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Collection, Iterable, Iterator
+from collections.abc import Collection, Iterable
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -25,8 +24,9 @@ import pyarrow.compute as pc  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from .common import trim  # noqa: E402
+
 ID_BYTES = 4
-_C = ctypes.CDLL(None)
 #: Characters below this are in composed form, lower-case alone, and white space as Python and
 #: Arrow have it but for four separators, so both split such texts as the library does.
 _CARE = re.compile("[\x1c-\x1f]|[^\x00-ɏ]|<\\|")
@@ -140,23 +140,6 @@ def encoder(spec: str) -> WordEncoder:
     return made
 
 
-def trim() -> None:
-    """Give memory that this worker has freed back to the system: workers wait, and count, through later stages."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(_C, "malloc_trim"):
-        _C.malloc_trim(0)
-
-
-def trimmed(of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``of`` for ``mapInArrow``, with its memory given back after the last batch of a task."""
-
-    def run(batches: Iterator) -> Iterator:
-        yield from of(batches)
-        trim()
-
-    return run
-
-
 class WordIds(dict):
     """Ids by word, filled as words are met; it starts afresh beyond ``limit`` words, so memory stays bounded."""
 

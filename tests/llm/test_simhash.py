@@ -89,12 +89,13 @@ def test_masks_of_larger_radii_cover_and_keep_half_of_the_bits(radius):
     import random
 
     random.seed(radius)
-    for finer in (False, True):
-        masks = [m & (1 << 64) - 1 for m in simhash.covering_masks(radius, finer)]
-        assert len(masks) == (2 << radius) - 1 and min(m.bit_count() for m in masks) >= 28
-        for _ in range(3000):
-            difference = sum(1 << b for b in random.sample(range(64), radius))
-            assert any(not m & difference for m in masks)
+    masks = [m & (1 << 64) - 1 for m in simhash.covering_masks(radius)]
+    assert len(masks) == (2 << radius) - 1 and min(m.bit_count() for m in masks) >= 28
+    blocks = [m & (1 << 64) - 1 for m in simhash.block_masks(radius)]
+    assert len(blocks) == radius + 1 and sum(blocks) == (1 << 64) - 1
+    for _ in range(3000):
+        difference = sum(1 << b for b in random.sample(range(64), radius))
+        assert any(not m & difference for m in masks) and any(not m & difference for m in blocks)
 
 
 def test_links_in_a_crowded_bucket(spark):

@@ -14,9 +14,10 @@ more than there are dropped bits, so links grow with the fingerprints, not with
 That takes few probes for RADIUS 2 only.  ``wide_components`` serves larger radii, for copies with more
 edits.  So wide a radius would link strangers in a very large corpus, so a second, independent SimHash of
 the same shingles must confirm each link.  In every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
-they are within the radius.  A bucket that then still holds several components is cut by the tables of a
-second family, independent of the first, which meet the same guarantee; the small parts, which agree on
-three quarters of all bits, are searched for links between their components, so no link is missed.
+they are within the radius.  A bucket that then still holds several components is cut once more: of
+radius + 1 blocks of the bits, two fingerprints within the radius agree on one at least.  The parts, which
+agree on a bucket's kept bits and a block's, are searched for links between their components, so no link
+is missed.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any
 other; equal texts share a fingerprint and so a component; a null doc_id belongs to its
@@ -102,19 +103,24 @@ def fingerprints(docs: DataFrame, second: bool = False) -> DataFrame:
     return rows.mapInArrow(trimmed(of), ", ".join(f"{name} long" for name in names))
 
 
-def covering_masks(radius: int = RADIUS, finer: bool = False) -> list[int]:
-    """The 2^(radius+1) - 1 masks of kept bits, as signed 64-bit numbers; ``finer`` gives a second family.
+def covering_masks(radius: int = RADIUS) -> list[int]:
+    """The 2^(radius+1) - 1 masks of kept bits, as signed 64-bit numbers.
 
     With fewer vectors than bits all are dealt in turn.  With more, those with the highest bit set are,
     one for each bit, so every mask but the full one keeps half of the bits.
     """
     tables = (2 << radius) - 1
-    place = [i * (2 * i + 1) % BITS if finer else i for i in range(BITS)]  # a permutation
-    vectors = [1 + k % tables if tables < BITS else (1 << radius) | k % (1 << radius) for k in place]
+    vectors = [1 + i % tables if tables < BITS else (1 << radius) | i % (1 << radius) for i in range(BITS)]
     masks = [sum(1 << i for i, v in enumerate(vectors) if (a & v).bit_count() % 2) for a in range(1, 2 << radius)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
+def block_masks(radius: int) -> list[int]:
+    """radius + 1 masks that part the bits, as signed 64-bit numbers: a pair within the radius agrees on all bits of one."""
+    masks = [sum(1 << i for i in range(k, BITS, radius + 1)) for k in range(radius + 1)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
 def _signed(bit: int) -> int:
     return (1 << bit) - (1 << BITS) if bit == BITS - 1 else 1 << bit
 
@@ -165,7 +171,7 @@ def wide_components(values: DataFrame, radius: int) -> DataFrame:
     # a bucket of one component needs no more links; the others are cut finer and searched for links between components
     rooted = crowded.select("t", "key", "own").join(roots, F.col("own.fp") == F.col("u"), "left").select("t", "key", "own", F.coalesce("root", "own.fp").alias("root"))
     rooted = _mixed(settle(rooted), "t", "key")
-    finer = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, finer=True)])
+    finer = F.array(*[F.lit(m).cast("long") for m in block_masks(radius)])
     cut = rooted.select("t", "key", "own", "root", F.posexplode(finer).alias("s", "mask"))
     part = F.xxhash64("t", "key", "s", F.col("own.fp").bitwiseAND(F.col("mask"))).alias("part")
     parts = settle(_mixed(cut.select(part, "own", "root"), "part"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language_id, quality_model, quality_rules, sharding, simhash, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, language_id, prefix_trie, quality_model, quality_rules, sharding, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_model": quality_model.op10_quality_model,
     "op11_warc": warc.op11_warc,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 #: The others have no SQL form (hash functions, tokenizers, learned models) and are tested by brute force.
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_chat": chat.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language_id, prefix_trie, quality_model, quality_rules, sharding, simhash, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, hard_negatives, language_id, prefix_trie, quality_model, quality_rules, sharding, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_model": quality_model.op10_quality_model,
     "op11_warc": warc.op11_warc,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 #: The others have no SQL form (hash functions, tokenizers, learned models) and are tested by brute force.
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
     "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import asset, suffix_of
+from .scan import lives, scanned
 
 
 @dataclass(frozen=True)
@@ -68,33 +69,21 @@ def reference_counts(ledger: DataFrame, path: str, delta: Column) -> DataFrame:
 
 
 def running_counts(ledger: DataFrame, path: str, delta: Column, order: list[str], bin: Column | None = None) -> DataFrame:
-    """The ledger with the count after each event.
+    """The ledger with the count after each event, by a scan of bins: a path with very many events is no single task.
 
-    ``bin`` grows with ``order`` (an hour of a time, say).  With it the counts of whole bins are summed
-    first and events are ordered inside their bin only, so a path with very many events is no single task.
+    ``bin`` gives bins of the caller's own; it grows with ``order`` (an hour of a time, say).
     """
-    if bin is None:
-        sofar = Window.partitionBy(path).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return ledger.withColumn("running", F.sum(delta).over(sofar).cast("long"))
-    events = ledger.withColumns({"__bin": bin, "__delta": delta})
-    before = Window.partitionBy(path).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = events.groupBy(path, "__bin").agg(F.sum("__delta").alias("__sum"))
-    sums = sums.select(F.col(path).alias("__path"), F.col("__bin").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(path, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = events.withColumn("__sofar", F.sum("__delta").over(inside))
-    same = F.col(path).eqNullSafe(F.col("__path")) & F.col("__bin").eqNullSafe(F.col("__of"))
-    return summed.join(sums, same).withColumn("running", (F.col("__before") + F.col("__sofar")).cast("long")).select(*ledger.columns, "running")
+    return scanned(ledger, path, delta, order, bin).select(*ledger.columns, "running")
 
 
 def underflows(ledger: DataFrame, path: str, delta: Column, order: list[str]) -> DataFrame:
-    """The events that take a reference from a path that has none: such a removal is an error and changes nothing.
+    """The events that take a reference from a path that has none: such a removal is an error and changes nothing.  Deltas are +1, -1 or 0."""
+    return scanned(ledger, path, delta, order).where("failed").select(*ledger.columns)
 
-    Deltas are +1, -1 or 0.  With removals that fail left out, the count is the plain sum less its least value
-    so far; so they are the events at which the plain sum falls below all its values before.
-    """
-    counted = running_counts(ledger, path, delta, order)
-    earlier = Window.partitionBy(path).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("__least", F.least(F.coalesce(F.min("running").over(earlier), F.lit(0)), F.lit(0))).where("running < __least").select(*ledger.columns)
+
+def reference_lives(ledger: DataFrame, path: str, event: str, delta: Column, order: list[str]) -> DataFrame:
+    """(path, life, born, died, peak): a path is deleted when its last reference goes, and one that is added later begins a new life."""
+    return lives(scanned(ledger, path, delta, order), path, event)
 
 
 def collectable(counts: DataFrame) -> DataFrame:

@@ -453,7 +453,7 @@ def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT event_id, user_id, (sum({_DELTA}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM events")
 def ref_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return assets.running_counts(ledger, "user_id", _delta(), ["ts", "event_id"], F.date_trunc("day", "ts")).select("event_id", "user_id", "running")
+    return assets.running_counts(ledger, "user_id", _delta(), ["ts", "event_id"]).select("event_id", "user_id", "running")
 
 
 @_query(f"""
@@ -467,6 +467,19 @@ def ref_underflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.underflows(ledger, "user_id", _delta(), ["ts", "event_id"]).select("event_id", "user_id")
 
 
+@_query(f"""
+WITH s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, user_id, ts, {_DELTA} AS d FROM events)),
+m AS (SELECT *, s - d - least(coalesce(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS before FROM s),
+l AS (SELECT *, greatest(before + d, 0) AS refs, count(*) FILTER (d = 1 AND before = 0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM m)
+SELECT user_id, life::BIGINT AS life, max(event_id) FILTER (before = 0) AS born, max(event_id) FILTER (refs = 0) AS died, max(refs)::BIGINT AS peak
+FROM l WHERE before > 0 OR refs > 0 GROUP BY user_id, life
+""")
+def ref_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each life of a user's references: it ends when the last one goes, and a later addition begins another."""
+    ledger = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return assets.reference_lives(ledger, "user_id", "event_id", _delta(), ["ts", "event_id"])
+
+
 @_query(f"SELECT user_id, sum({_DELTA})::BIGINT AS refs FROM events GROUP BY user_id HAVING sum({_DELTA}) <= 0")
 def ref_collectable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.collectable(assets.reference_counts(_t(spark, sf_dir, "events"), "user_id", _delta()))

@@ -1,0 +1,81 @@
+"""Conversion by run-time types: tags and VARIANTs."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from typeflow.plans.defaults import default_registry
+from typeflow.plans.dispatch import DEPTH, distinct_tags, resolve_tagged, resolve_variant
+from typeflow.plans.planner import Context
+
+
+def scoped():
+    registry = default_registry()
+    registry.declare("price", "float")
+    registry.declare("name")
+    registry.declare("alone")
+    registry.add("str", "name", lambda v: F.concat(F.lit("n:"), v), "app")
+    registry.add("int", "name", lambda v: F.concat(F.lit("i:"), v.cast("string")), "app.deep")
+    return Context(registry)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rows = [(1, "int", 5, None, None), (2, "price", None, 2.5, None), (3, "str", None, None, "x"), (4, "what", 1, 1.0, "y"), (5, None, 1, 1.0, "z"), (6, "int", None, None, "unused"), (7, "alone", 3, None, None)]
+    return spark.createDataFrame(rows, "k int, tag string, i long, d double, s string").repartition(2)
+
+
+def run(df, made):
+    return {r.k: (r.m.value, r.m.error) for r in df.select("k", made.alias("m")).collect()}
+
+
+def test_tags_are_dispatched_row_by_row(mixed):
+    values = {"int": F.col("i"), "price": F.col("d"), "str": F.col("s"), "alone": F.col("i")}
+    shallow, deep = scoped().inside("app"), scoped().inside("app.deep")
+    want = {1: ("n:5", None), 2: ("n:2.5", None), 3: ("n:x", None), 4: (None, "unknown type: what"), 5: (None, "no type"), 6: (None, None), 7: ("n:3", None)}
+    assert run(mixed, resolve_tagged(shallow, F.col("tag"), values, "name", "string")) == want
+    assert run(mixed, resolve_tagged(deep, F.col("tag"), values, "name", "string")) == want | {1: ("i:5", None)}
+    # without the scope nothing leads to the target
+    outside = run(mixed, resolve_tagged(scoped(), F.col("tag"), values, "name", "string"))
+    assert outside[1] == (None, "no chain from int to name") and outside[4] == (None, "unknown type: what")
+    assert run(mixed, resolve_tagged(shallow, F.col("tag"), values, "name", "string", via="str"))[1] == ("n:5", None)
+
+
+def test_each_type_is_planned_once(mixed, monkeypatch):
+    planned = []
+    plan = Context.plan
+    monkeypatch.setattr(Context, "plan", lambda self, *a: planned.append(a[0]) or plan(self, *a))
+    values = {"int": F.col("i"), "price": F.col("d"), "str": F.col("s")}
+    made = mixed.select("k", resolve_tagged(scoped().inside("app"), F.col("tag"), values, "name", "string").alias("m"))
+    made.collect()
+    assert sorted(planned) == ["int", "price", "str"]
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in text for word in ("Join", "Python", "Arrow", "Union"))
+
+
+def test_structs_as_targets(mixed):
+    values = {"int": F.col("i"), "str": F.col("s")}
+    made = resolve_tagged(scoped(), F.col("tag"), values, "param", "struct<str_rep:string,dtype:string,managed:boolean>")
+    got = run(mixed, made)
+    assert tuple(got[1][0]) == ("5", "str", False) and got[4][1] == "unknown type: what"
+
+
+def test_distinct_tags(mixed):
+    assert distinct_tags(mixed, F.col("tag")) == ["alone", "int", "price", "str", "what"]
+    with pytest.raises(ValueError, match="more than 4"):
+        distinct_tags(mixed, F.col("tag"), 4)
+
+
+def test_variants(spark):
+    deep = "[" * (DEPTH + 1) + "1" + "]" * (DEPTH + 1)
+    json = ["7", "-2.25", "1e3", "true", '"a b"', "null", '[1, "x", false, null, [2, [3]]]', "[]", '{"a": 1}', '[1, {"b": 2}]', deep, None]
+    df = spark.createDataFrame(list(enumerate(json)), "k int, j string").select("k", F.parse_json("j").alias("v"))
+    got = run(df, resolve_variant(Context(default_registry()), F.col("v"), "str", "string"))
+    assert got == {
+        0: ("7", None), 1: ("-2.25", None), 2: ("1000.0", None), 3: ("True", None), 4: ("a b", None), 5: (None, None), 6: ("1 x False 2 3", None), 7: ("", None),
+        8: (None, "unknown type: OBJECT<a: BIGINT>"), 9: (None, "unknown type: OBJECT<b: BIGINT>"), 10: (None, "unknown type: ARRAY<BIGINT>"), 11: (None, None),
+    }
+    # the scope's own rule for numbers holds inside arrays too
+    registry = default_registry()
+    registry.add("int", "str", lambda v: F.concat(F.lit("#"), v.cast("string")), "app")
+    got = run(df, resolve_variant(Context(registry).inside("app"), F.col("v"), "str", "string"))
+    assert got[0] == ("#7", None) and got[6] == ("#1 x False #2 #3", None)

@@ -13,7 +13,7 @@ from .registry import CORE, Registry
 def join(values: Column | list, context: Context, separator: str) -> Column:
     """A tuple's elements, each resolved to text as its own type, and joined."""
     if isinstance(values, Column):
-        return convert.join_elements(values, lambda v: context.resolve(v, context.element, "str"), separator)
+        return convert.join_elements(values, context.elements or (lambda v: context.resolve(v, context.element, "str")), separator)
     return F.concat_ws(separator, *[context.resolve(v, kind, "str") for v, kind in values])
 
 

@@ -73,6 +73,8 @@ class Context:
     caller: str = ""
     #: The type of the elements of the tuple that is being resolved.
     element: str = "float"
+    #: How an element becomes text where its type is known at run time only.
+    elements: Callable[[Column], Column] | None = field(default=None, compare=False, repr=False)
     _memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     def inside(self, scope: str) -> Context:

@@ -12,6 +12,7 @@ from .functions import convert
 from .operators import assets, command, execute, graph, volumes
 from .operators.proxified import ProxyCommand
 from .plans.defaults import default_registry, join
+from .plans.dispatch import distinct_tags, resolve_tagged as by_tag, resolve_variant as by_variant
 from .plans.planner import Context
 from .sources import metadata
 
@@ -376,6 +377,42 @@ def resolve_nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", _nested_context().resolve(F.col("embedding"), "tuple", "str").alias("t"))
 
 
+@_query("""
+SELECT event_id, CASE event_type WHEN 'view' THEN user_id::VARCHAR WHEN 'click' THEN value::VARCHAR WHEN 'purchase' THEN CASE WHEN value > 50 THEN 'True' ELSE 'False' END
+       WHEN 'signup' THEN user_id::VARCHAR || ' ' || event_id::VARCHAR END AS text,
+       CASE WHEN event_type = 'error' THEN 'unknown type: blob' END AS error
+FROM events
+""")
+def resolve_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of five types in one table, each converted from the type that its row names; one of them is not known."""
+    registry = default_registry()
+    registry.declare("price", "float")
+    tags = F.create_map(*[F.lit(x) for pair in (("view", "int"), ("click", "price"), ("purchase", "bool"), ("signup", "tuple[int]"), ("error", "blob")) for x in pair])
+    rows = _t(spark, sf_dir, "events").select("event_id", "user_id", "value", tags[F.col("event_type")].alias("tag"))
+    columns = {"int": F.col("user_id"), "price": F.col("value"), "bool": F.col("value") > 50, "tuple[int]": F.array("user_id", "event_id")}
+    known = {t: columns[t] for t in distinct_tags(rows, F.col("tag")) if t in columns}
+    made = by_tag(Context(registry), F.col("tag"), known, "str", "string")
+    return rows.select("event_id", made.alias("m")).select("event_id", F.col("m.value").alias("text"), "m.error")
+
+
+@_query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN n_chars::VARCHAR || '.5' WHEN 2 THEN lang WHEN 3 THEN CASE WHEN n_chars > 500 THEN 'True' ELSE 'False' END
+       WHEN 4 THEN n_chars::VARCHAR || ' True ' || lang || ' 1 2.5' END AS text,
+       CASE WHEN doc_id % 6 = 5 THEN 'unknown type: OBJECT<a: BIGINT>' END AS error
+FROM documents
+""")
+def resolve_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values of any type, each converted by the type of what it holds, arrays element by element."""
+    n, quoted = F.col("n_chars").cast("string"), F.concat(F.lit('"'), "lang", F.lit('"'))
+    kinds = [n, F.concat(n, F.lit(".5")), quoted, F.when(F.col("n_chars") > 500, "true").otherwise("false"), F.concat(F.lit("["), n, F.lit(", true, "), quoted, F.lit(", null, [1, 2.5]]")), F.lit('{"a": 1}')]
+    json = F.lit(None).cast("string")
+    for k, kind in enumerate(kinds):
+        json = F.when(F.col("doc_id") % 6 == k, kind).otherwise(json)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.parse_json(json).alias("v"))
+    made = by_variant(Context(default_registry()), F.col("v"), "str", "string")
+    return rows.select("doc_id", made.alias("m")).select("doc_id", F.col("m.value").alias("text"), "m.error")
+
+
 # assets and references
 
 

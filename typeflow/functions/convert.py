@@ -6,6 +6,8 @@ command is rendered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,8 @@ def checked_path(path: Column, suffix: str) -> Column:
     """The path, or an error for a path with another suffix."""
     message = F.concat(F.lit("expected a " + suffix + " file: "), path)
     return F.when(path.isNull() | (suffix_of(path) == suffix), path).otherwise(F.raise_error(message).cast("string"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` written and evaluated once, as the one element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,6 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.convert import let
 from .planner import Context, NodeNotFound, NoPath
 
 #: What a VARIANT's own schema begins with, the type that it stands for, and the Spark type it is read as.
@@ -59,10 +60,9 @@ def resolve_tagged(context: Context, tag: Column, values: Mapping[str, Column |
     return cases.otherwise(_outcome(None, F.concat(F.lit("unknown type: "), tag), kind))
 
 
-def variant_tag(value: Column, types: Iterable[tuple[str, str, str]] = VARIANT_TYPES) -> Column:
-    """The type that a VARIANT's value stands for; its own schema where that stands for none, null for a null."""
-    schema = F.schema_of_variant(value)
-    tag = F.when(value.isNull() | (schema == "VOID"), F.lit(None).cast("string"))
+def variant_tag(schema: Column, types: Iterable[tuple[str, str, str]] = VARIANT_TYPES) -> Column:
+    """The type that a VARIANT stands for, from its own schema; the schema itself where that stands for none."""
+    tag = F.when(schema.isNull(), F.lit(None).cast("string"))
     for pattern, name, _ in types:
         tag = tag.when(schema.rlike(rf"\A(?:{pattern})\b"), F.lit(name))
     return tag.otherwise(schema)
@@ -72,16 +72,23 @@ def resolve_variant(context: Context, value: Column, target: str, kind: str, via
     """A VARIANT converted by the type of what it holds: a struct of ``value`` and ``error``.
 
     A JSON null is a null value without error.  The elements of an array are VARIANTs too, each converted by
-    its own type; an array more than ``depth`` levels down is an error.
+    its own type, and the first error among them is the array's; an array more than ``depth`` levels down is an error.
+    Schemas and elements are bound once, so the expression grows with the depth, not with its power.
     """
-    types = [(p, n, k) for p, n, k in VARIANT_TYPES if n != "tuple" or depth > 0]
-    element = lambda v: resolve_variant(context, v, "str", "string", depth=depth - 1)
-    inner = replace(context, elements=lambda v: element(v)["value"])
-    tag = variant_tag(value, types)
-    read = {name: F.try_variant_get(value, "$", as_type) for _, name, as_type in types}
-    made = resolve_tagged(inner, tag, read, target, kind, via)
-    if depth > 0:
-        wrong = F.get(F.filter(F.transform(read["tuple"], lambda v: element(v)["error"]), lambda e: e.isNotNull()), F.lit(0))
-        made = F.when((tag == "tuple") & wrong.isNotNull(), _outcome(None, wrong, kind)).otherwise(made)
-    nothing = value.isNull() | (F.schema_of_variant(value) == "VOID")
-    return F.when(nothing, _outcome(None, None, kind)).otherwise(made)
+    scalars = {name: F.try_variant_get(value, "$", as_type) for _, name, as_type in VARIANT_TYPES if name != "tuple"}
+    types = [t for t in VARIANT_TYPES if t[1] != "tuple" or depth > 0]
+    inner = replace(context, elements=lambda outcome: outcome["value"])
+
+    def whole(outcomes: Column) -> Column:
+        wrong = F.get(F.filter(F.transform(outcomes, lambda o: o["error"]), lambda e: e.isNotNull()), F.lit(0))
+        return F.when(wrong.isNotNull(), _outcome(None, wrong, kind)).otherwise(resolve_tagged(inner, F.lit("tuple"), {"tuple": outcomes}, target, kind, via))
+
+    def made(schema: Column) -> Column:
+        out = let(variant_tag(schema, types), lambda tag: resolve_tagged(context, tag, scalars, target, kind, via))
+        if depth > 0:
+            elements = F.try_variant_get(value, "$", "array<variant>")
+            resolved = F.transform(elements, lambda v: resolve_variant(context, v, "str", "string", depth=depth - 1))
+            out = F.when(schema.startswith("ARRAY"), let(resolved, whole)).otherwise(out)
+        return F.when(schema == "VOID", _outcome(None, None, kind)).otherwise(out)
+
+    return F.when(value.isNull(), _outcome(None, None, kind)).otherwise(let(F.schema_of_variant(value), made))

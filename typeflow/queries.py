@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .functions import convert
 from .operators import assets, command, execute, graph, volumes
 from .operators.proxified import ProxyCommand
+from .operators.storage import new_folder
 from .plans.defaults import default_registry, join
 from .plans.dispatch import distinct_tags, resolve_tagged as by_tag, resolve_variant as by_variant
 from .plans.planner import Context
 from .sources import metadata
+from .streaming import managed
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -522,6 +524,21 @@ def ref_collectable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.collectable(assets.reference_counts(_t(spark, sf_dir, "events"), "user_id", _delta()))
 
 
+@_query(f"""
+WITH s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, user_id, date_trunc('milliseconds', ts) AS ms, {_DELTA} AS d FROM events)),
+m AS (SELECT *, s - least(min(s) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING), 0) AS refs FROM s)
+SELECT user_id, arg_max(refs, (ms, event_id))::BIGINT AS refs FROM m GROUP BY user_id HAVING arg_max(refs, (ms, event_id)) > 0
+""")
+def ref_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events replayed as a stream of managed users: who has references at the end."""
+    schema = _t(spark, sf_dir, "events").schema
+    # a pattern, since a stream takes a plain path for a folder
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("at", F.date_trunc("millisecond", "ts"))
+    home = new_folder(spark, "ref-stream")
+    managed.start(managed.managed_references(events, "user_id", "at", "event_id", _delta()), f"{home}/out", f"{home}/state").awaitTermination()
+    return managed.tracked(managed.changes(spark, f"{home}/out")).select(F.col("path").alias("user_id"), "refs")
+
+
 # volumes
 
 

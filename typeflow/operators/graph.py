@@ -14,10 +14,6 @@ from ..functions.linear import linear_order
 from .storage import checkpointed
 
 
-#: Relaxations of the edges between two checkpoints.
-STEPS = 2
-
-
 def _first(df: DataFrame, key: list[str], order: Column, last: bool = False) -> DataFrame:
     """The first (or last) row of each key by an aggregate, which needs no task to hold a key's rows."""
     rest = [c for c in df.columns if c not in key]
@@ -102,45 +98,3 @@ def nearest_ancestor(ancestry: DataFrame, nodes: DataFrame, key: str, ancestor:
     """For each key its nearest ancestor that is a node of the graph; of equally near ones the least."""
     found = ancestry.join(nodes, ancestor, "left_semi").groupBy(key)
     return found.agg(F.min(F.struct(depth, ancestor)).alias("__near")).select(key, F.col(f"__near.{ancestor}").alias(ancestor))
-
-
-def shortest_paths(edges: DataFrame, source: Column, rounds: int = 1000) -> DataFrame:
-    """(node, cost, hops, path) from ``source`` by least (cost, hops, path) over edges (src, dst, weight).
-
-    Each round relaxes the edges of the nodes that the last one improved, STEPS times over, and keeps each
-    node's best row by an aggregate; it ends when no row improves.  Weights must not be negative.  The path
-    joins nodes by '>'.
-    """
-    spark = edges.sparkSession
-    edges = checkpointed(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    best = spark.range(1).select(source.alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("hops"), source.cast("string").alias("path"))
-
-    def relaxed(best: DataFrame) -> DataFrame:
-        longer = best.where("better").join(edges, F.col("node") == F.col("src")).select(
-            F.col("dst").alias("node"),
-            (F.col("cost") + F.col("weight")).alias("cost"),
-            (F.col("hops") + 1).alias("hops"),
-            F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"),
-        )
-        both = best.select("node", "cost", "hops", "path", F.lit(True).alias("old")).unionByName(longer.withColumn("old", F.lit(False)))
-        row = F.struct("cost", "hops", "path")
-        both = both.groupBy("node").agg(F.min(row).alias("b"), F.min(F.when(F.col("old"), row)).alias("o"))
-        return both.select("node", "b.*", (~F.col("b").eqNullSafe(F.col("o"))).alias("better"))
-
-    best = best.withColumn("better", F.lit(True))
-    for _ in range(rounds):
-        for _ in range(STEPS):
-            best = relaxed(best)
-        best = checkpointed(best)
-        if best.where("better").isEmpty():
-            return best.drop("better")
-    raise ValueError(f"paths did not settle in {rounds} rounds")
-
-
-def paths_via(edges: DataFrame, source: Column, waypoint: Column) -> DataFrame:
-    """(node, cost, path) by the best way to ``waypoint`` and on from there; a node may be passed twice."""
-    to = shortest_paths(edges, source).where(F.col("node") == waypoint).select(F.col("cost").alias("c0"), F.col("path").alias("p0"), F.col("node").alias("at"))
-    on = shortest_paths(edges, waypoint).withColumn("at", waypoint)
-    # a path begins with the waypoint's own text, whatever that holds
-    tail = F.expr("substr(path, length(cast(at AS string)) + 1)")
-    return on.join(F.broadcast(to), "at").select("node", (F.col("c0") + F.col("cost")).alias("cost"), F.concat("p0", tail).alias("path"))  # one row

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import convert
-from .operators import assets, command, execute, graph, volumes
+from .operators import assets, command, execute, graph, search, volumes
 from .operators.proxified import ProxyCommand
 from .operators.storage import new_folder
 from .plans.defaults import default_registry, join
@@ -237,7 +237,7 @@ best_{name} AS (SELECT node, cost, hops, path FROM (SELECT *, row_number() OVER
 
 @_query(f"WITH RECURSIVE {_NATION_EDGES}, {_walks('w', 0, 12)} SELECT node::INTEGER AS node, cost::BIGINT AS cost, hops::BIGINT AS hops, path FROM best_w")
 def graph_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_paths(_nation_edges(spark, sf_dir), F.lit(0))
+    return search.shortest_paths(_nation_edges(spark, sf_dir), F.lit(0))
 
 
 @_query(f"""
@@ -246,7 +246,7 @@ SELECT x.node::INTEGER AS node, (w.cost + x.cost)::BIGINT AS cost, w.path || CAS
 FROM best_x x, best_w w WHERE w.node = 3
 """)
 def graph_waypoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.paths_via(_nation_edges(spark, sf_dir), F.lit(0), F.lit(3))
+    return search.paths_via(_nation_edges(spark, sf_dir), F.lit(0), F.lit(3))
 
 
 def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,12 +259,30 @@ def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def graph_sssp_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_paths(_supply_edges(spark, sf_dir), F.lit("p1"))
+    return search.shortest_paths(_supply_edges(spark, sf_dir), F.lit("p1"))
 
 
 @_query()
 def graph_waypoint_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.paths_via(_supply_edges(spark, sf_dir), F.lit("p1"), F.lit("s1"))
+    return search.paths_via(_supply_edges(spark, sf_dir), F.lit("p1"), F.lit("s1"))
+
+
+def _scoped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as converters between parts and suppliers, some without weight, in scopes of three depths."""
+    edges = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    scope = F.when(F.col("l_returnflag") == "A", "app.tool").when(F.col("l_returnflag") == "N", "lib").otherwise("lib.deep.er")
+    weight = F.col("l_quantity").cast("long") - 1 + F.col("l_linenumber") % 2
+    number = lambda way: F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit(way)).alias("seq")
+    there = edges.select(part.alias("src"), supplier.alias("dst"), weight.alias("weight"), scope.alias("scope"), number(0))
+    return there.unionByName(edges.select(supplier.alias("src"), part.alias("dst"), weight.alias("weight"), scope.alias("scope"), number(1)))
+
+
+@_query()
+def graph_planned_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planner's own chain to every part and supplier, on a graph that is held as rows."""
+    found = search.planned_paths(_scoped_edges(spark, sf_dir), F.lit("p1"), "app")
+    return found.select("node", "cost", F.size("chain").cast("long").alias("steps"), F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
 
 
 @_query("""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import convert
-from .operators import assets, command, execute, graph, search, volumes
+from .operators import assets, command, execute, graph, search, volumes, workflow
 from .operators.proxified import ProxyCommand
 from .operators.storage import new_folder
 from .plans.defaults import default_registry, join
@@ -123,6 +123,53 @@ def exec_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute.run_commands(rows, "s_suppkey", "argv").select("s_suppkey", "exit_code")
 
 
+def _command_graph(spark: SparkSession, sf_dir: str):
+    """A command for each document: it reads its source's file and what the commands of half and a third of its number write."""
+    docs = _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("command"), "source")
+    name = lambda number: F.concat(F.lit("out-"), F.expr(number).cast("string"))
+    later = docs.where("command > 0")
+    reads = later.select("command", name("command div 2").alias("asset")).unionByName(later.select("command", name("command div 3").alias("asset")))
+    reads = reads.unionByName(docs.select("command", F.concat(F.lit("source-"), "source").alias("asset")))
+    return docs.select("command"), reads, docs.select("command", name("command").alias("asset")).distinct()
+
+
+_COMMAND_GRAPH = """
+c AS (SELECT DISTINCT doc_id AS command FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT command, command // 2 AS needed FROM c WHERE command > 0 UNION SELECT command, command // 3 FROM c WHERE command > 0),
+l AS (SELECT command, 0 AS level FROM c UNION SELECT n.command, level + 1 FROM l JOIN n ON n.needed = l.command),
+v AS (SELECT command, max(level) AS level FROM l GROUP BY command),
+r AS (SELECT command, 'out-' || needed::VARCHAR AS asset FROM n UNION SELECT doc_id, 'source-' || source FROM documents WHERE doc_id IS NOT NULL),
+u AS (SELECT asset, max((level, command)) AS last, count(*) AS readers FROM r JOIN v USING (command) GROUP BY asset)
+"""
+
+
+@_query(f"""
+WITH RECURSIVE {_COMMAND_GRAPH}
+SELECT coalesce('out-' || v.command::VARCHAR, u.asset) AS asset, v.command AS writer, v.level::INTEGER AS level, coalesce(readers, 0)::BIGINT AS readers,
+       last[2] AS last_reader, last[1]::INTEGER AS last_level, CASE WHEN v.command IS NOT NULL THEN greatest(v.level, last[1]) END::INTEGER AS free_after
+FROM v FULL JOIN u ON u.asset = 'out-' || v.command::VARCHAR
+""")
+def command_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and last reader of every file of a graph of commands, and when it may go."""
+    commands, reads, writes = _command_graph(spark, sf_dir)
+    levels = workflow.command_levels(commands, workflow.dependencies(reads, writes))
+    return workflow.asset_uses(levels, reads, writes)
+
+
+@_query(f"""
+WITH RECURSIVE {_COMMAND_GRAPH},
+f AS (SELECT v.level, greatest(v.level, last[1]) AS free FROM v LEFT JOIN u ON u.asset = 'out-' || v.command::VARCHAR),
+k AS (SELECT DISTINCT level FROM (SELECT level FROM f UNION SELECT free FROM f))
+SELECT k.level::INTEGER AS level, count(*) FILTER (f.level = k.level) AS made, count(*) FILTER (f.free = k.level) AS freed, count(*) FILTER (f.level <= k.level AND f.free >= k.level) AS held
+FROM k CROSS JOIN f GROUP BY k.level
+""")
+def command_files_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files are written, freed and held on each level."""
+    commands, reads, writes = _command_graph(spark, sf_dir)
+    levels = workflow.command_levels(commands, workflow.dependencies(reads, writes))
+    return workflow.held_files(workflow.asset_uses(levels, reads, writes))
+
+
 # text forms and parameters
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import convert
-from .operators import assets, command, execute, graph, search, volumes, workflow
+from .operators import assets, bricks, command, execute, graph, search, volumes, workflow
 from .operators.proxified import ProxyCommand
 from .operators.storage import new_folder
 from .plans.defaults import default_registry, join
 from .plans.dispatch import distinct_tags, resolve_tagged as by_tag, resolve_variant as by_variant
 from .plans.planner import Context
-from .sources import metadata
+from .sources import metadata, volume_files
 from .streaming import managed
 
 QUERIES = {}
@@ -643,6 +643,34 @@ def sphere_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.size(inside).cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of 64 planes, each an embedding of 8 x 8 values."""
+    return _t(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("volume"), (F.col("vec_id") % 64).cast("int").alias("z"), F.col("embedding").alias("plane"))
+
+
+@_query("SELECT vec_id, embedding AS plane FROM embeddings WHERE vec_id % 64 BETWEEN 3 AND 5")
+def volume_file_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All volumes written to files, and three planes of each read back."""
+    home = new_folder(spark, "volumes")
+    volume_files.write_volumes(_planes(spark, sf_dir), home, 8, 8)
+    read = volume_files.read_volumes(spark, home, 3, 5)
+    return read.select((F.col("volume").cast("long") * 64 + F.col("z")).alias("vec_id"), "plane")
+
+
+@_query("""
+SELECT volume, count(*)::BIGINT AS n, round(sum(v::DOUBLE), 4) AS total
+FROM (SELECT vec_id // 64 AS volume, vec_id % 64 AS z, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i] AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))
+WHERE (z - 30) * (z - 30) + (y - 4) * (y - 4) + (x - 3) * (x - 3) <= 36 GROUP BY volume
+""")
+def volume_brick_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voxels inside a sphere, out of bricks of 4 x 4 x 4 in Morton order; bricks outside it are not read."""
+    home = new_folder(spark, "bricks")
+    bricks.write_bricks(bricks.to_bricks(_planes(spark, sf_dir), 8, 8, 4), home)
+    inside = bricks.sphere_voxels(spark.read.parquet(home), (30, 4, 3), 6, 4)
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return inside.groupBy("volume").agg(F.sum(F.size("values")).cast("long").alias("n"), F.round(F.sum(total), 4).alias("total")).where("n > 0")
+
+
 @_query("SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings")
 def array_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", volumes.to_float64(F.col("embedding")).alias("e"))

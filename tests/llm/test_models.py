@@ -258,3 +258,27 @@ def test_boosting_finds_the_best_cut():
     tree = quality_model._line_tree(g, h, depth=1)
     for part in (slice(0, cut), slice(cut, None)):
         assert np.allclose(tree[part], g[part].sum() / (h[part].sum() + quality_model.DAMPING))
+
+
+def test_language_samples_count_documents_not_rows(spark):
+    """One id with very many rows is one document: its language is learned, by the text with the least hash."""
+    rows = [(1, f"the word number {k}", "en") for k in range(100)] + [(k, "das ist ein wort", "de") for k in range(2, 60)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.learn(df, 20)
+    assert model.languages == ("de", "en")
+    for row in model.log_prob:
+        assert row.max() - row.min() > 1  # no flat model
+    got = language_id.predict(spark.createDataFrame([("the word number " * 9,), ("das wort",)], "text string"), model).collect()
+    assert [r["__lang_pred"] for r in got] == ["en", "de"]
+    # equal likelihoods: the first language by name
+    same = [(k, "abc", lang) for k in range(1, 40) if zlib.crc32(str(k).encode()) % 5 for lang in ("xx", "aa")]
+    model = language_id.learn(spark.createDataFrame(same, "doc_id long, text string, lang string"))
+    assert language_id.predict(spark.createDataFrame([("abc",)], "text string"), model).first()["__lang_pred"] == "aa"
+
+
+def test_rows_without_a_language_column(spark):
+    known = spark.createDataFrame([(k, "the word" if k % 2 else "das wort", "en" if k % 2 else "de") for k in range(1, 40)], "doc_id long, text string, lang string")
+    plain = spark.createDataFrame([(1, "the word", 5), (2, "123", 6)], "doc_id long, text string, n int")
+    kept = language_id.keep_known(plain, labelled=known)
+    assert kept.columns == plain.columns and [r.doc_id for r in kept.collect()] == [1]

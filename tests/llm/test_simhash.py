@@ -24,10 +24,8 @@ def brute(rows, radius=2):
     values = sorted({brute_print(t) for _, t in rows})
     seconds = {}
     for _, t in rows:
-        x = simhash.second_fingerprint(t)
-        seconds.setdefault(brute_print(t), []).append(x - (1 << 64) if x >> 63 else x)
-    second = {v: min(found) & (1 << 64) - 1 for v, found in seconds.items()}  # the least as signed numbers
-    agree = lambda a, b: radius == 2 or (second[a] ^ second[b]).bit_count() <= simhash.SECOND_RADIUS
+        seconds.setdefault(brute_print(t), set()).add(simhash.second_fingerprint(t))
+    agree = lambda a, b: radius == 2 or any((x ^ y).bit_count() <= simhash.SECOND_RADIUS for x in seconds[a] for y in seconds[b])
     root = {v: v for v in values}
 
     def find(v):
@@ -196,3 +194,18 @@ def test_hot_fingerprints_join_by_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
     assert found(simhash.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert simhash.keep_one(docs.checkpoint()).count() == len({c for _, _, c in brute([(r.doc_id, r.text) for r in docs.collect()], simhash.WIDE_RADIUS)})
+
+
+def test_no_link_is_lost_where_fingerprints_are_equal(spark, monkeypatch):
+    """Texts of one fingerprint with several second ones link by each of them."""
+    near, far = 0, (1 << 40) - 1
+    pairs = [(0, near), (0, far), (7, far), (1 << 50 | 0xFF, near), (1 << 50 | 0xF, near ^ 3)]
+    roots = {r.u: r.root for r in simhash.wide_components(spark.createDataFrame(pairs, "fp long, fp2 long"), 6).collect()}
+    assert roots[7] == 0 and roots[1 << 50 | 0xFF] == roots.get(1 << 50 | 0xF, 1 << 50 | 0xF) == 0
+    # the same through documents
+    prints = {f"t{k}": p for k, p in enumerate(pairs[:3])} | {"other": (-1, near)}
+    rows = [(k, t, 1, *prints[t]) for k, t in enumerate(sorted(prints), 10)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, print long, fp long, fp2 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, second=False: made.select("doc_id", "print", "fp", "fp2"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made, 6).collect()}
+    assert got == {10: 10, 11: 11, 12: 11, 13: 11}

@@ -11,8 +11,9 @@ with the last characters of the former before it, and every n-gram is counted ju
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a very long text is
 scored whole, in runs of bounded memory; documents with a null lang are predicted but not learned
-from; a null doc_id counts as held out; with nothing to learn from all is ``und``; repeated rows
-are predicted each; an empty table gives no rows; other columns are ignored; more than
+from; a null doc_id counts as held out; with nothing to learn from all is ``und``; a language with any document to
+learn from has one in its sample, which counts distinct doc_ids; equal likelihoods go to the language that comes first
+by name; repeated rows are predicted each; an empty table gives no rows; other columns are ignored; more than
 MAX_LANGUAGES values of lang are an error.
 """
 
@@ -112,16 +113,21 @@ def count(texts: Iterable[str]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the languages in ``lang`` from about ``sample`` documents each that are not held out."""
+    """A model of the languages in ``lang`` from about ``sample`` documents each that are not held out.
+
+    Documents are told apart by doc_id and language; of several texts of one, that with the least hash teaches.
+    """
     usable = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    counts = usable.groupBy("lang").agg(F.count_distinct("doc_id").alias("ids")).limit(MAX_LANGUAGES + 1)
+    sizes = {r.lang: r.ids for r in counts.collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     if not sizes:
         return Model((), np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32))
     chosen = usable.where(F.coalesce(*[F.when(F.col("lang") == lang, in_sample(F.col("doc_id"), sample, n)) for lang, n in sizes.items()]))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -184,10 +190,13 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("__lang_pre
     return guessed.select(*columns, F.col(f"{guess}.lang_pred").alias(names[0]), F.col(f"{guess}.score").alias(names[1]))
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, with their columns."""
+def keep_known(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, with their columns.
+
+    The languages are learned from ``labelled`` (doc_id, text, lang), or from ``docs`` itself.
+    """
     lang, score = free_name(docs, "__lang_pred"), free_name(docs, "__score")
-    guessed = predict(docs, learn(docs, sample), (lang, score))
+    guessed = predict(docs, learn(docs if labelled is None else labelled, sample), (lang, score))
     return guessed.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

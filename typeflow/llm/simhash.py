@@ -13,7 +13,8 @@ more than there are dropped bits, so links grow with the fingerprints, not with
 
 That takes few probes for RADIUS 2 only.  ``wide_components`` serves larger radii, for copies with more
 edits.  So wide a radius would link strangers in a very large corpus, so a second, independent SimHash of
-the same shingles must confirm each link.  In every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
+the same shingles must confirm each link: two fingerprints are linked if some text of the one and some text of the other are
+within SECOND_RADIUS bits there.  Texts of one fingerprint are linked as they are.  In every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
 they are within the radius.  A bucket that then still holds several components is cut once more: of
 radius + 1 blocks of the bits, two fingerprints within the radius agree on one at least.  The parts, which
 agree on a bucket's kept bits and a block's, are searched for links between their components, so no link
@@ -156,7 +157,7 @@ def _mixed(rooted: DataFrame, *bucket: str) -> DataFrame:
 
 
 def wide_components(values: DataFrame, radius: int) -> DataFrame:
-    """(u, root) of the distinct fingerprints ``values`` (fp, fp2), as linked by all pairs within ``radius`` and SECOND_RADIUS bits."""
+    """(u, root) of the fingerprints fp of ``values`` (distinct fp, fp2), as linked by all pairs within ``radius`` and SECOND_RADIUS bits."""
     apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     near = lambda a, b: (apart(f"{a}.fp", f"{b}.fp") <= radius) & (apart(f"{a}.fp2", f"{b}.fp2") <= SECOND_RADIUS)
     bucket = Window.partitionBy("t", "key").orderBy("own")
@@ -188,11 +189,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, print, fp, root (a component's least fp), component_id (the least doc_id reachable) for each row of ``docs``."""
     wide = radius != RADIUS
     prints = settle(fingerprints(docs, second=wide))
-    seconds = [F.min("fp2").alias("fp2")] if wide else []  # that of equal fingerprints
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *seconds)
+    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     if wide:
         values = settle(values)
-        roots = wide_components(values, radius)
+        roots = wide_components(settle(prints.select("fp", "fp2").distinct()), radius)
     else:
         roots = connected_components(links(values.select("fp")))
     rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))

@@ -36,8 +36,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a null text, or one without letters, goes."""
-    return keep_known(docs)
+    """Documents whose language is recognised; a null text, or one without letters, goes.
+
+    Languages are learned from ``docs``, or from the corpus's documents where ``docs`` has no lang.
+    """
+    return keep_known(docs, labelled=None if "lang" in docs.columns else table(spark, sf_dir, "documents"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

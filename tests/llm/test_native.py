@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from typeflow.llm import chat, decontaminate, quality_rules, sharding
@@ -158,11 +159,52 @@ def test_sharding_of_null_and_repeated_rows(spark):
     assert got.where("`group` IS NULL").count() == 500
 
 
-def test_sharding_against_brute_force(spark, monkeypatch):
-    """Every group's shard, by serving the groups one by one in plain Python."""
-    monkeypatch.setattr(sharding, "MOVE_BINS", 1 << 30)  # a bin for each group
-    sizes = [40, 25, 25, *[2 + k % 9 for k in range(60)]]
-    rows = [(100 * g + k, f"group {g}") for g, n in enumerate(sizes) for k in range(n)] + [(10_000 + i, f"own {i}") for i in range(150)]
+def brute_labels(groups, start, capacity, tags, bins, slice_rows):
+    """Every group's shard by serving groups one by one; None for a group that is split or dealt in a bin."""
+    left, want = list(capacity), {}
+    name = lambda g: tags[g][1]
+    for g in sorted((g for g in groups if len(groups[g]) > slice_rows), key=lambda g: (-len(groups[g]), name(g))):
+        votes, n = Counter(start[i] for i in groups[g]), len(groups[g])
+        fits = [s for s in range(16) if left[s] >= n]
+        if fits:
+            best = max(fits, key=lambda s: (votes[s], left[s], -s))
+            left[best] -= n
+            want[g] = best
+            continue
+        want[g] = None
+        while n > 0:
+            fits = [s for s in range(16) if left[s] >= n]
+            best = max(fits, key=lambda s: (votes[s], left[s], -s)) if fits else max(range(16), key=lambda s: (left[s], votes[s], -s))
+            taken = min(n, left[best])
+            left[best] -= taken
+            n -= taken
+    waiting = [g for g in groups if 1 < len(groups[g]) <= slice_rows]
+    for _ in range(sharding.ASKS):
+        asks = {}
+        for g in waiting:
+            votes, n = Counter(start[i] for i in groups[g]), len(groups[g])
+            fits = [s for s in range(16) if left[s] >= n]
+            if fits:
+                asks.setdefault(max(fits, key=lambda s: (votes[s], left[s], -s)), []).append(g)
+        granted = set()
+        for s, gs in asks.items():
+            room, total = left[s], 0
+            for g in sorted(gs, key=lambda g: (tags[g][0] % bins, tags[g][0], name(g))):
+                total += len(groups[g])
+                if total <= room:
+                    want[g] = s
+                    granted.add(g)
+                    left[s] -= len(groups[g])
+        waiting = [g for g in waiting if g not in granted]
+        if not granted or not waiting:
+            break
+    return want | dict.fromkeys(waiting)
+
+
+@pytest.mark.parametrize("sizes,alone,own", [([40, 25, 25, *[2 + k % 9 for k in range(60)]], 150, 0.6), ([2] * 4000, 6000, 0.99), ([2 + k % 3 for k in range(2500)], 0, 0.7)])
+def test_sharding_against_brute_force(spark, sizes, alone, own):
+    """Every group's shard as it ships: large groups, and thousands of small ones that vote one by one."""
+    rows = [(1000 * g + k, f"group {g}") for g, n in enumerate(sizes) for k in range(n)] + [(10_000_000 + i, f"own {i}") for i in range(alone)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     capacity = [len(rows) // 16 + (s < len(rows) % 16) for s in range(16)]
     start = {r.doc_id: r.s for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 16) AS s").collect()}
@@ -170,29 +212,18 @@ def test_sharding_against_brute_force(spark, monkeypatch):
     for i, text in rows:
         groups.setdefault(text, []).append(i)
     named = df.select("text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("g")).distinct()
-    named = named.select("text", F.concat(F.lit("g"), F.hex("g")).alias("large"), F.pmod(F.xxhash64("g", F.lit(0)), F.lit(1 << 30)).cast("string").alias("bin"))
-    name = {r.text: (r.large if len(groups[r.text]) > max(1, len(rows) // 1024) else r.bin) for r in named.collect()}
-    left, want = list(capacity), {}
-    for text in sorted((t for t in groups if len(groups[t]) > 1), key=lambda t: (-len(groups[t]), name[t])):
-        votes, n = Counter(start[i] for i in groups[text]), len(groups[text])
-        fits = [s for s in range(16) if left[s] >= n]
-        if fits:
-            best = max(fits, key=lambda s: (votes[s], left[s], -s))
-            left[best] -= n
-            want[text] = {best}
-        else:  # split over as few shards as hold it
-            want[text] = None
-            while n > 0:
-                best = max(range(16), key=lambda s: (left[s] if left[s] < n else -1, votes[s], -s)) if max(left) < n else max((s for s in range(16) if left[s] >= n), key=lambda s: (votes[s], left[s], -s))
-                taken = min(n, left[best])
-                left[best] -= taken
-                n -= taken
-    got = {}
+    tags = {r.text: (r.tag, r.g) for r in named.select("text", F.xxhash64("g").alias("tag"), F.hex("g").alias("g")).collect()}
+    want = brute_labels(groups, start, capacity, tags, sharding._bins(len(rows)), sharding._large_rows(len(rows), 16))
+    got, by_id = {}, {}
     for r in sharding.shard(df).join(df.select("doc_id", "text"), "doc_id").collect():
         got.setdefault(r.text, set()).add(r.shard)
-    assert sum(w is not None for w in want.values()) > 55
-    for text, shards in want.items():
-        assert shards is None or got[text] == shards, text
+        by_id[r.doc_id] = r.shard
+    assert sum(w is not None for w in want.values()) > 0.9 * len(sizes)
+    for text, shard in want.items():
+        assert shard is None or got[text] == {shard}, text
+    # while there is room a group goes where some of its documents are
+    near = [g for g, s in want.items() if s is not None and s in {start[i] for i in groups[g]}]
+    assert len(near) > own * len(sizes)
 
 
 def brute_items(text, items):

@@ -7,12 +7,13 @@ Quotas are of final counts, so what comes into a shard and what leaves it offset
 Documents without links weigh nothing in the cut, so they only fill what room the linked ones
 leave.  Counts end at most one apart (law ``rows``).
 
-Hubs are served the largest first.  A group that is large against a shard's capacity is served
-by itself, the others in hashed bins of whole groups.  A bin that no quota holds waits for the
-next round, which deals it in finer bins; fewer bins than shards can wait, since together they
-are no larger than the quotas that are left, so each round leaves about 1 row in 256.  Only a group that
-no quota holds is split, by ranks, over as few shards as hold it.  A document has one group, so
-the cut can fall no more once no hub waits, and the rounds end.
+Large groups, at most one for 1 / (SHARDS * SLICE_PART) of all rows or HOT_ROWS rows, are served first, the largest
+before the others.  All other groups vote one by one, at any number of rows: in each round every group that waits asks for
+the label with most votes among those that still have room for it, and a shard grants what it is asked for in a hashed order,
+as far as its quota reaches.  Groups that were not granted ask again with the quotas that are left.  Groups
+that no quota holds any more are dealt in hashed bins, in finer ones in later rounds; only a group that no quota holds
+is split, by ranks, over as few shards as hold it.  A document has one group, so
+the cut can fall no more once no group waits, and the rounds end.
 
 Work is bounded per task: ranks and votes come from counts per hashed bin.  A group of more than
 HOT_ROWS rows, or than 1 / (SHARDS * SLICE_PART) of all, is never shuffled by its key: what is known
@@ -38,7 +39,9 @@ from .common import HOT_ROWS, settle, table
 
 SHARDS = 16
 ROUNDS = 8
-#: Hashed bins in which the hubs of groups that are not large are served.
+#: Rounds in which groups ask for labels.
+ASKS = 12
+#: Hashed bins in which groups are dealt that no quota holds.
 MOVE_BINS = 4096
 #: A group larger than this part of a shard's capacity is served by itself.
 SLICE_PART = 64
@@ -100,42 +103,81 @@ def _deal(hubs: list, left: list[int], last: bool) -> tuple[list[tuple], list[tu
     return dealt, waiting
 
 
+def _votes(shards: int) -> Column:
+    return F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)])
+
+
+def _granted(groups: DataFrame, left: list[int], bins: int) -> tuple[DataFrame | None, DataFrame]:
+    """(group, to) of the ``groups`` (group, n, votes) that got a label, and those that no quota holds; ``left`` is used up."""
+    waiting, done = groups, []
+    for _ in range(ASKS):
+        room = F.array(*[F.lit(x).cast("long") for x in left])
+        offers = F.transform("votes", lambda v, s: F.struct(v.alias("votes"), F.get(room, s).alias("left"), (-s).alias("s")))
+        best = F.array_max(F.filter(offers, lambda o: o["left"] >= F.col("n")))
+        tag = F.xxhash64("group")
+        asked = waiting.withColumns({"to": -best["s"], "tag": tag, "bin": F.pmod(tag, F.lit(bins))})
+        # what a shard is asked for before a group, by bins, then inside the bin
+        sums = asked.groupBy("to", "bin").agg(F.sum("n").alias("s"))
+        before = Window.partitionBy("to").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("to", "bin", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
+        inside = Window.partitionBy("to", "bin").orderBy("tag", "group").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = asked.where(F.col("to").isNotNull()).withColumn("upto", F.sum("n").over(inside)).join(sums, ["to", "bin"])
+        served = ranked.select("group", "n", "votes", "to", (F.col("before") + F.col("upto") <= F.get(room, F.col("to"))).alias("granted"))
+        served = settle(served.unionByName(asked.where(F.col("to").isNull()).select("group", "n", "votes", "to", F.lit(False).alias("granted"))))
+        used = served.where("granted").groupBy("to").agg(F.sum("n").alias("n")).collect()  # a row a shard
+        for row in used:
+            left[row["to"]] -= row["n"]
+        done.append(served.where("granted").select("group", "to"))
+        waiting = served.where("NOT granted").select("group", "n", "votes")
+        if not used or waiting.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done), waiting.select("group")
+
+
 def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Labels of ``linked`` (doc_id, text_crc32, unit, group, shard, ...) after hubs took theirs; ends when no hub waits."""
-    spark, shards, left = linked.sparkSession, len(capacity), list(capacity)
-    slice_rows = _large_rows(sum(capacity), shards)
+    """Labels of ``linked`` (doc_id, text_crc32, unit, group, shard, ...) after groups took theirs; ends when none waits."""
+    if not rounds:
+        return linked
+    left, columns = list(capacity), linked.columns
+    slice_rows = _large_rows(sum(capacity), len(capacity))
     large = linked.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
-    large = settle(large.select("group", F.concat(F.lit("g"), F.hex("group")).alias("large")))  # at most one for slice_rows rows
-    votes = F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)])
-    tag = F.xxhash64("group")
-    columns, done = linked.columns, []
+    large = F.broadcast(settle(large.select("group", F.concat(F.lit("g"), F.hex("group")).alias("hub"))))  # at most one for slice_rows rows
+    done, _ = _dealt(linked.join(large, "group"), left, sum(capacity), True, columns)
+    small = linked.join(large, "group", "left_anti")
+    groups = settle(small.groupBy("group").agg(F.count("*").alias("n"), _votes(len(capacity)).alias("votes")))
+    labels, waiting = _granted(groups, left, _bins(sum(capacity)))
+    done.append(small.join(labels, "group").withColumn("shard", F.col("to")).select(columns))
+    rest = settle(small.join(waiting, "group", "left_semi").select(columns))
     for k in range(rounds):
-        bin_ = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(MOVE_BINS)).cast("string")
-        if k == 0:
-            keyed = linked.join(F.broadcast(large), "group", "left").withColumn("hub", F.coalesce("large", bin_))
-        else:
-            keyed = linked.withColumn("hub", bin_)
-        counts = keyed.groupBy("hub").agg(F.count("*").alias("n"), (F.min(tag) == F.max(tag)).alias("single"), votes.alias("votes"))
-        dealt, waiting = _deal(counts.collect(), left, k == rounds - 1)  # a row for each bin and large group
-        pieces = Counter(hub for hub, *_ in dealt)
-        whole = [(hub, to) for hub, _, _, to in dealt if pieces[hub] == 1]
-        labels = spark.createDataFrame(whole, "hub string, to int")
-        done.append(keyed.join(F.broadcast(labels), "hub").withColumn("shard", F.col("to")).select(columns))
-        split = [x for x in dealt if pieces[x[0]] > 1]
-        if split:
-            ranges = spark.createDataFrame(split, "hub string, first long, end long, to int")
-            hubs = spark.createDataFrame([(h,) for h in sorted({x[0] for x in split})], "hub string")
-            rows = settle(keyed.join(F.broadcast(hubs), "hub").select(*columns, "hub"))
-            bins = _bins(sum(capacity)) * SHARDS
-            rows = _ranked(rows, F.col("hub"), bins, [F.col(c) for c in ("unit", "doc_id", "text_crc32")], "rank")
-            inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
-            done.append(rows.join(F.broadcast(ranges), "hub").where(inside).withColumn("shard", F.col("to")).select(columns))
-        if not waiting:
+        if rest.isEmpty():
             break
-        linked = settle(keyed.join(F.broadcast(spark.createDataFrame(waiting, "hub string")), "hub", "left_semi").select(columns))
+        bin_ = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(MOVE_BINS)).cast("string")
+        got, rest = _dealt(rest.withColumn("hub", bin_), left, sum(capacity), k == rounds - 1, columns)
+        done += got
     return settle(reduce(DataFrame.unionByName, done)) if done else linked
 
 
+def _dealt(keyed: DataFrame, left: list[int], rows: int, last: bool, columns: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """The rows of ``keyed`` (``columns`` and hub) whose hubs were dealt, with their labels, and those that wait; a row for each hub is on the driver."""
+    spark, tag = keyed.sparkSession, F.xxhash64("group")
+    counts = keyed.groupBy("hub").agg(F.count("*").alias("n"), (F.min(tag) == F.max(tag)).alias("single"), _votes(len(left)).alias("votes"))
+    dealt, waiting = _deal(counts.collect(), left, last)
+    pieces = Counter(hub for hub, *_ in dealt)
+    whole = [(hub, to) for hub, _, _, to in dealt if pieces[hub] == 1]
+    labels = spark.createDataFrame(whole, "hub string, to int")
+    done = [keyed.join(F.broadcast(labels), "hub").withColumn("shard", F.col("to")).select(columns)]
+    split = [x for x in dealt if pieces[x[0]] > 1]
+    if split:
+        ranges = spark.createDataFrame(split, "hub string, first long, end long, to int")
+        hubs = spark.createDataFrame([(h,) for h in sorted({x[0] for x in split})], "hub string")
+        cut = settle(keyed.join(F.broadcast(hubs), "hub").select(*columns, "hub"))
+        cut = _ranked(cut, F.col("hub"), _bins(rows) * SHARDS, [F.col(c) for c in ("unit", "doc_id", "text_crc32")], "rank")
+        inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+        done.append(cut.join(F.broadcast(ranges), "hub").where(inside).withColumn("shard", F.col("to")).select(columns))
+    left_over = keyed.join(F.broadcast(spark.createDataFrame(waiting, "hub string")), "hub", "left_semi").select(columns)
+    return done, settle(left_over) if waiting else left_over.limit(0)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, group (null without links), shard, slot for each row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))

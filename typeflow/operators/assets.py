@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import asset, suffix_of
+from ..sources.files import copy_files
 from .scan import lives, scanned
 
 
@@ -33,7 +34,7 @@ def untyped(asset: Column) -> Column:
 def typed(asset: Column, kind: AssetType) -> Column:
     """An asset without a type as one of ``kind``: the suffix is appended; one that has a type is an error.
 
-    Its content is whatever lies at the new path: copying is up to whoever runs the commands.
+    Its content is whatever lies at the new path; ``typed_content`` brings it there.
     """
     new = F.struct(
         F.concat(asset["path"], F.lit(kind.suffix)).alias("path"), F.lit(kind.suffix).alias("ext"), F.lit(kind.name).alias("type"), asset["managed"].alias("managed")
@@ -42,6 +43,15 @@ def typed(asset: Column, kind: AssetType) -> Column:
     return F.when(untyped(asset), new).otherwise(F.raise_error(message))
 
 
+def typed_content(df: DataFrame, asset: str, kind: AssetType) -> DataFrame:
+    """(source, target, bytes, error): copies the content of the assets in a column to the paths that ``typed`` gives them.
+
+    The stage may be run again, in part or whole: every file is written under another name and renamed when it is whole.
+    """
+    named = df.select(F.col(asset)["path"].alias("source"), typed(F.col(asset), kind)["path"].alias("target"))
+    return copy_files(named)
+
+
 def retype(base: Column, suffix: str) -> Column:
     """The path of a base under a type: its suffix is added unless it is there."""
     return F.when(suffix_of(base) == suffix, base).otherwise(F.concat(base, F.lit(suffix)))

@@ -38,14 +38,27 @@ def ancestors_closure(parents: DataFrame, position: str | None = None, levels: i
     ordered level by level, each once all its parents are: one parent's order is taken over whole,
     several are merged.  A type without parents is a root.
     """
+    waiting = checkpointed(_parent_lists(parents, position))
+    roots = parents.select(F.col("sup").alias("sub")).distinct().join(waiting, "sub", "left_anti")
+    return _ranked(_lines(waiting, checkpointed(roots.select("sub", F.array("sub").alias("line"))), levels))
+
+
+def _parent_lists(parents: DataFrame, position: str | None) -> DataFrame:
+    """(sub, ps): every type's parents in order."""
     place = F.col(position) if position else F.lit(0)
     own = parents.groupBy("sub").agg(F.array_sort(F.collect_set(F.struct(place.alias("at"), F.col("sup")))).alias("ps"))
-    waiting = checkpointed(own.select("sub", F.transform("ps", lambda p: p["sup"]).alias("ps")))
-    roots = parents.select(F.col("sup").alias("sub")).distinct().join(waiting, "sub", "left_anti")
-    done = checkpointed(roots.select("sub", F.array("sub").alias("line")))
+    return own.select("sub", F.transform("ps", lambda p: p["sup"]).alias("ps"))
+
+
+def _ranked(lines: DataFrame) -> DataFrame:
+    return lines.select("sub", F.posexplode("line").alias("weight", "sup")).where("weight > 0").select("sub", "sup", "weight")
+
+
+def _lines(waiting: DataFrame, done: DataFrame, levels: int) -> DataFrame:
+    """(sub, line): the linear orders of the types of ``waiting`` (sub, ps), from those of ``done`` (sub, line) downwards."""
     merged = F.pandas_udf(lambda lines, parents: pd.Series([linear_order([*x, p]) for x, p in zip(lines, parents)]), "array<string>")
     several = not waiting.where(F.size("ps") > 1).isEmpty()
-    last = done
+    last, made = done, None
     for _ in range(levels):
         # a type is ready once all its parents have a line; it then has one that is new
         line_of = lambda df: df.select(F.col("sub").alias("__p"), "line")
@@ -58,12 +71,35 @@ def ancestors_closure(parents: DataFrame, position: str | None = None, levels: i
             ready = ready.unionByName(whole.select("sub", F.concat(F.array("sub"), "line").alias("line")))
         last = checkpointed(ready)
         if last.isEmpty():
-            lined = done.select("sub", F.posexplode("line").alias("weight", "sup"))
-            return lined.where("weight > 0").select("sub", "sup", "weight")
+            return last if made is None else made
+        made = last if made is None else made.unionByName(last)
         done = done.unionByName(last)
     raise ValueError(f"types have ancestors more than {levels} levels up")
 
 
+def types_below(closure: DataFrame, changed: DataFrame) -> DataFrame:
+    """(sub): the types of ``changed`` (sub) and all that have one of them as an ancestor."""
+    below = closure.join(changed.select(F.col("sub").alias("sup")), "sup", "left_semi").select("sub")
+    return changed.select("sub").unionByName(below).distinct()
+
+
+def update_closure(closure: DataFrame, parents: DataFrame, changed: DataFrame, position: str | None = None, levels: int = 100) -> DataFrame:
+    """The closure of ``parents`` from that of earlier ones, when just the types of ``changed`` (sub) have got, or lost, parents.
+
+    A type's order depends on what is above it alone, so only the changed types and those below them are ordered
+    anew, from the orders of their other parents that are there; all other rows are kept as they are.
+    """
+    touched = checkpointed(types_below(closure, changed))
+    waiting = checkpointed(_parent_lists(parents.join(touched, "sub", "left_semi"), position))
+    above = waiting.select(F.explode("ps").alias("sub")).distinct().join(touched, "sub", "left_anti")
+    known = closure.join(above, "sub", "left_semi").groupBy("sub").agg(F.array_sort(F.collect_list(F.struct("weight", "sup"))).alias("ups"))
+    line = F.concat(F.array("sub"), F.coalesce(F.transform("ups", lambda u: u["sup"]), F.array().cast("array<string>")))
+    roots = touched.join(waiting, "sub", "left_anti").select("sub", F.array("sub").alias("line"))  # those that have no parents now
+    lines = above.join(known, "sub", "left").select("sub", line.alias("line")).unionByName(roots)
+    made = _ranked(_lines(waiting, checkpointed(lines), levels))
+    return closure.join(touched, "sub", "left_anti").select("sub", "sup", "weight").unionByName(made)
+
+
 def expand_scopes(scope: Column) -> Column:
     """All dotted prefixes of a scope."""
     parts = F.split(scope, "[.]")
@@ -80,6 +116,16 @@ def visible_scopes(seen: DataFrame, registered: DataFrame) -> DataFrame:
     return seen.intersect(registered)
 
 
+def visible_to_callers(seen: DataFrame, registered: DataFrame, caller: str, scope: str) -> DataFrame:
+    """(caller, scope): for each of many callers the scopes that it sees and that some converter, or one below them, lives in.
+
+    Scopes have a handful of prefixes, so both sides are expanded and joined by equality, which Spark deals over tasks; an
+    interval of tree positions would need a join by range.
+    """
+    wide = lambda df, *keys: df.select(*keys, F.explode(expand_scopes(F.col(scope))).alias(scope)).distinct()
+    return wide(seen, caller).join(wide(registered), scope, "left_semi").select(caller, scope)
+
+
 def edges_in_scope(edges: DataFrame, visible: DataFrame, on: str) -> DataFrame:
     return edges.join(visible, on, "left_semi")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import convert
 from .operators import assets, bricks, command, execute, graph, search, volumes, workflow
 from .operators.proxified import ProxyCommand
-from .operators.storage import new_folder
+from .operators.storage import checkpointed, new_folder
 from .plans.defaults import default_registry, join
 from .plans.dispatch import distinct_tags, resolve_tagged as by_tag, resolve_variant as by_variant
 from .plans.planner import Context
@@ -238,6 +238,22 @@ def downcast_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors_closure(_parents(spark, sf_dir))
 
 
+@_query("""
+WITH RECURSIVE p AS (
+  SELECT 'c' || c_custkey::VARCHAR AS sub, 'n' || c_nationkey::VARCHAR AS sup FROM customer
+  UNION ALL SELECT 'n' || n_nationkey::VARCHAR, 'r' || n_regionkey::VARCHAR FROM nation
+  UNION ALL SELECT 'r' || r_regionkey::VARCHAR, 'object' FROM region),
+a AS (SELECT sub, sup, 1 AS weight FROM p UNION ALL SELECT a.sub, p.sup, weight + 1 FROM a JOIN p ON a.sup = p.sub WHERE weight < 6)
+SELECT sub, sup, min(weight)::INTEGER AS weight FROM a GROUP BY sub, sup
+""")
+def downcast_closure_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure when the nations of one region get their parent later, and only they and their customers are ordered anew."""
+    parents = _parents(spark, sf_dir)
+    late = _t(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("sub"))
+    before = graph.ancestors_closure(parents.join(late, "sub", "left_anti"))
+    return graph.update_closure(before, parents, late)
+
+
 @_query("""
 WITH c AS (
   SELECT 'c' || c_custkey::VARCHAR AS sub, 'n' || n_nationkey::VARCHAR AS n, 'r' || n_regionkey::VARCHAR AS r, coalesce(c_mktsegment, '') AS s
@@ -368,6 +384,17 @@ def scope_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.visible_scopes(side(0), side(1))
 
 
+@_query(f"""
+WITH h AS (SELECT page_id, string_split({_HOST}, '.') AS p FROM pages),
+e AS (SELECT page_id, array_to_string(p[1:i], '.') AS ns FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM h))
+SELECT DISTINCT page_id % 10 AS caller, ns FROM e WHERE ns IN (SELECT ns FROM e WHERE page_id % 3 = 0)
+""")
+def scope_visible_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of ten callers sees of the scopes that a third of the pages register."""
+    pages = _t(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("caller"), "page_id", F.expr(_HOST).alias("ns"))
+    return graph.visible_to_callers(pages, pages.where("page_id % 3 = 0"), "caller", "ns")
+
+
 @_query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def scope_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     visible = _t(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -542,6 +569,20 @@ def asset_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", assets.untyped(F.col("asset")).alias("untyped"), made["path"].alias("path"), made["type"].alias("type"))
 
 
+@_query("SELECT vec_id // 64 AS volume, 16 + count(*) * 256 AS bytes, true AS same FROM embeddings GROUP BY volume")
+def asset_typed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume files without a type get one, with their content; each copy is read back beside its source."""
+    home = new_folder(spark, "typed")
+    volume_files.write_volumes(_planes(spark, sf_dir), home, 8, 8)
+    content = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(home).select("path", F.sha2("content", 256).alias("digest"))
+    stored = content("*.tfv")
+    none = F.lit(None).cast("string")
+    rows = stored.select(F.struct("path", none.alias("ext"), none.alias("type"), F.lit(True).alias("managed")).alias("asset"), "digest")
+    copied = checkpointed(assets.typed_content(rows, "asset", assets.AssetType("PosFile", ".pos")).where("error IS NULL"))
+    both = copied.join(stored.withColumnRenamed("path", "source"), "source").join(content("*.pos").select(F.col("path").alias("target"), F.col("digest").alias("copy")), "target")
+    return both.select(F.regexp_extract("source", r"([0-9]+)[.]tfv$", 1).cast("long").alias("volume"), "bytes", (F.col("digest") == F.col("copy")).alias("same"))
+
+
 def _delta():
     return F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
 

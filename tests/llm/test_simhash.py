@@ -25,7 +25,14 @@ def brute(rows, radius=2):
     seconds = {}
     for _, t in rows:
         seconds.setdefault(brute_print(t), set()).add(simhash.second_fingerprint(t))
-    agree = lambda a, b: radius == 2 or any((x ^ y).bit_count() <= simhash.SECOND_RADIUS for x in seconds[a] for y in seconds[b])
+
+    def linked(a, b):
+        first = (a ^ b).bit_count()
+        if radius == 2:
+            return first <= radius
+        apart = [(x ^ y).bit_count() for x in seconds[a] for y in seconds[b]]
+        return any(first <= radius and d <= simhash.SECOND_RADIUS or d <= radius and first <= simhash.SECOND_RADIUS or d == 0 for d in apart)
+
     root = {v: v for v in values}
 
     def find(v):
@@ -35,7 +42,7 @@ def brute(rows, radius=2):
 
     for a in values:
         for b in values:
-            if (a ^ b).bit_count() <= radius and agree(a, b):
+            if linked(a, b):
                 root[find(a)] = find(b)
     least = {}
     for i, t in rows:
@@ -203,9 +210,42 @@ def test_no_link_is_lost_where_fingerprints_are_equal(spark, monkeypatch):
     roots = {r.u: r.root for r in simhash.wide_components(spark.createDataFrame(pairs, "fp long, fp2 long"), 6).collect()}
     assert roots[7] == 0 and roots[1 << 50 | 0xFF] == roots.get(1 << 50 | 0xF, 1 << 50 | 0xF) == 0
     # the same through documents
-    prints = {f"t{k}": p for k, p in enumerate(pairs[:3])} | {"other": (-1, near)}
+    prints = {f"t{k}": p for k, p in enumerate(pairs[:3])} | {"other": (-1, 0x5555555555555555)}
     rows = [(k, t, 1, *prints[t]) for k, t in enumerate(sorted(prints), 10)]
     made = spark.createDataFrame(rows, "doc_id long, text string, print long, fp long, fp2 long")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, second=False: made.select("doc_id", "print", "fp", "fp2"))
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made, 6).collect()}
     assert got == {10: 10, 11: 11, 12: 11, 13: 11}
+
+
+def test_links_of_either_fingerprint(spark):
+    """Components are those of all pairs that either rule links, in chains that need both."""
+    import random
+
+    random.seed(3)
+    flip = lambda v, n: functools.reduce(lambda x, b: x ^ 1 << b, random.sample(range(60), n), v)
+    pairs = {(random.getrandbits(62), random.getrandbits(62)) for _ in range(30)}
+    for a, b in sorted(pairs)[:10]:
+        for _ in range(12):
+            n, m = random.choice([(5, 14), (14, 5), (6, 16), (9, 9), (0, 20), (20, 0), (17, 6), (3, 3)])
+            a, b = random.choice([(a, b), (flip(a, n), flip(b, m))])
+            pairs.add((a, b))
+    near = lambda p, q: [(p[0] ^ q[0]).bit_count(), (p[1] ^ q[1]).bit_count()]
+    root = {p: p for p in pairs}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for p in pairs:
+        for q in pairs:
+            d = near(p, q)
+            if 0 in d or min(d) <= 6 and max(d) <= simhash.SECOND_RADIUS:
+                root[find(p)] = find(q)
+    least = {}
+    for p in pairs:
+        least[find(p)] = min(least.get(find(p), p[0]), p[0])
+    got = {r.u: r.root for r in simhash.both_ways(spark.createDataFrame(sorted(pairs), "fp long, fp2 long"), 6).collect()}
+    assert {p[0]: got.get(p[0], p[0]) for p in pairs} == {p[0]: least[find(p)] for p in pairs}
+    assert len(got) > 30

@@ -14,7 +14,8 @@ more than there are dropped bits, so links grow with the fingerprints, not with
 That takes few probes for RADIUS 2 only.  ``wide_components`` serves larger radii, for copies with more
 edits.  So wide a radius would link strangers in a very large corpus, so a second, independent SimHash of
 the same shingles must confirm each link: two fingerprints are linked if some text of the one and some text of the other are
-within SECOND_RADIUS bits there.  Texts of one fingerprint are linked as they are.  In every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
+within SECOND_RADIUS bits there.  Texts of one fingerprint are linked as they are.  ``both_ways`` does the same with the two
+SimHashes in each other's place, and joins what either links: a pair whose edits hit one of them harder is found by the other.  In every bucket each fingerprint is linked to the bucket's least one and to the one before it, if
 they are within the radius.  A bucket that then still holds several components is cut once more: of
 radius + 1 blocks of the bits, two fingerprints within the radius agree on one at least.  The parts, which
 agree on a bucket's kept bits and a block's, are searched for links between their components, so no link
@@ -185,6 +186,19 @@ def wide_components(values: DataFrame, radius: int) -> DataFrame:
     return settle(members.join(again, "root", "left").select("u", F.coalesce("higher", "root").alias("root")).where("u <> root"))
 
 
+def both_ways(values: DataFrame, radius: int) -> DataFrame:
+    """(u, root) of the fingerprints fp of ``values`` (distinct fp, fp2), as linked by ``wide_components`` over fp, or over fp2."""
+    first = wide_components(values, radius).select(F.col("u").alias("fp"), F.col("root").alias("r1"))
+    second = wide_components(values.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), radius).select(F.col("u").alias("fp2"), F.col("root").alias("r2"))
+    placed = values.join(first, "fp", "left").join(second, "fp2", "left")
+    placed = settle(placed.select("fp", F.coalesce("r1", "fp").alias("r1"), F.coalesce("r2", "fp2").alias("r2")))
+    least = placed.groupBy("r2").agg(F.min("r1").alias("v"), F.max("r1").alias("most")).where("v <> most").select("r2", "v")
+    edges = placed.join(if_small(settle(least)), "r2").where("r1 <> v").select(F.col("r1").alias("u"), "v").distinct()
+    joined = connected_components(edges).select(F.col("u").alias("r1"), "root")
+    roots = placed.select("fp", "r1").distinct().join(if_small(settle(joined)), "r1", "left")
+    return settle(roots.select(F.col("fp").alias("u"), F.coalesce("root", "r1").alias("root")).where("u <> root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, print, fp, root (a component's least fp), component_id (the least doc_id reachable) for each row of ``docs``."""
     wide = radius != RADIUS
@@ -192,7 +206,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     if wide:
         values = settle(values)
-        roots = wide_components(settle(prints.select("fp", "fp2").distinct()), radius)
+        roots = both_ways(settle(prints.select("fp", "fp2").distinct()), radius)
     else:
         roots = connected_components(links(values.select("fp")))
     rooted = settle(values.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))

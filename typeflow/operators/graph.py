@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import linear_order
+from .search import paths_via, shortest_paths  # noqa: F401  a part of this module's interface
 from .storage import checkpointed
 
 

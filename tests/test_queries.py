@@ -17,6 +17,17 @@ def test_resolve_nested_all_converts_every_element(spark, sf_dir):
     assert all(len(t.split("_")) == 64 for t in got.values())
 
 
+@pytest.mark.parametrize("name", ["resolve_nested"])
+def test_resolve_nested_rounds_products_as_its_sql_does(name, spark, duck, tmp_path):
+    """Elements whose product with 1000 is whole as a float only; nulls inside and in place of a vector."""
+    rows = [(1, [-0.196, 0.053, -0.159, 0.053]), (2, [0.25, None, -0.0005]), (3, []), (4, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.t for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    sql = queries.ORACLE_SQL[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == dict(duck.sql(sql).fetchall())
+    assert got[1].startswith("-392_106_-318")
+
+
 def brute_paths(edges, source):
     best, queue = {}, [(0, 0, source, source)]
     while queue:

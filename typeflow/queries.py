@@ -453,8 +453,10 @@ def resolve_passthrough_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nested_context() -> Context:
     registry = default_registry()
-    registry.add("float", "str", lambda v: convert.to_string(convert.to_int(v.cast("double") * 1000) * 2), "app")
-    registry.add("tuple", "str", lambda v, context: convert.join_elements(v, lambda x: context.resolve(x, "float", "str"), "_"), "app", nested=True)
+    # the product is rounded in the element's own precision, as in the SQL: a double's 52.99999937 is a float's 53
+    registry.add("float", "str", lambda v: convert.to_string(convert.to_int(v * F.lit(1000).cast("float")) * 2), "app")
+    joined = lambda v, context: convert.join_elements(v, lambda x: context.resolve(x, "float", "str"), "_")
+    registry.add("tuple", "str", lambda v, context: F.when(v.isNotNull(), joined(v, context)), "app", nested=True)
     return Context(registry).inside("app")
 
 

@@ -17,7 +17,7 @@ def test_resolve_nested_all_converts_every_element(spark, sf_dir):
     assert all(len(t.split("_")) == 64 for t in got.values())
 
 
-@pytest.mark.parametrize("name", ["resolve_nested"])
+@pytest.mark.parametrize("name", ["resolve_nested", "resolve_nested_all"])
 def test_resolve_nested_rounds_products_as_its_sql_does(name, spark, duck, tmp_path):
     """Elements whose product with 1000 is whole as a float only; nulls inside and in place of a vector."""
     rows = [(1, [-0.196, 0.053, -0.159, 0.053]), (2, [0.25, None, -0.0005]), (3, []), (4, None)]

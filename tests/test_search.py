@@ -110,3 +110,35 @@ def test_planned_supply(spark, sf_dir):
     for node in random.Random(1).sample(sorted(got), 60):
         chain = shortest_path(built, "p1", node, caller="app")
         assert got[node] == (sum(e.weight for e in chain), len(chain), ">".join(str(e.seq) for e in chain))
+
+
+def dense(seed, weights):
+    """A dense graph, nodes that heavy edges alone lead to, a chain of such edges behind them, and nodes that nothing leads to."""
+    edges = random_edges(seed, 60, 2500, weights)
+    edges += [(60, 61, 3), (3, 62, 70), (5, 62, 71), (62, 63, 90), (63, 64, 3), (62, 7, 60), (62, 7, 9)]
+    return edges + [(80 + a, 80 + b, w) for a, b, w in random_edges(seed + 1, 20, 600, weights)]
+
+
+def test_a_dense_graph_is_searched_over_few_edges(spark, monkeypatch):
+    monkeypatch.setattr(search, "FEW", 20)  # so that nodes are joined in both ways
+    edges = dense(7, range(1, 41))
+    df = spark.createDataFrame(edges, "src long, dst long, weight int").repartition(3)
+    want = brute(edges, 1)
+    assert 60 not in want and {62, 64} <= set(want)
+    got = search.shortest_paths(df, F.lit(1).cast("long")).collect()
+    assert {r.node: (r.cost, r.hops, r.path) for r in got} == want
+    # without the ways that are heavy alone, one pass over the heavier edges is enough, and opens few
+    plain = search.Graph(df.where("weight < 60"))
+    label = lambda cost: F.struct(cost.alias("cost"))
+    found, kept = plain.search(F.lit(1).cast("long"), label(F.lit(0).cast("long")), lambda old, edge: label(old["cost"] + edge("weight")))
+    assert {r.node: r.label.cost for r in found.collect()} == {n: c for n, (c, *_) in brute([e for e in edges if e[2] < 60], 1).items()}
+    assert kept.count() < 0.4 * plain.edges.count()
+
+
+def test_planned_paths_on_a_dense_graph(spark):
+    """Some edges without weight, ties, and nodes behind heavy edges alone."""
+    rng = random.Random(3)
+    edges = [(f"t{s}", f"t{d}", w, rng.choice(SCOPES), k) for k, (s, d, w) in enumerate(dense(5, range(40)))]
+    df = spark.createDataFrame(edges, "src string, dst string, weight int, scope string, seq long").repartition(3)
+    got = search.planned_paths(df, F.lit("t1"), "app").collect()
+    assert {r.node: (r.cost, list(r.chain)) for r in got} == planned(edges, "t1", "app")

@@ -28,3 +28,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` in the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder, which are written once and of whose columns and rows later plans read what they need."""
+    place = new_folder(df.sparkSession, "rows")
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
